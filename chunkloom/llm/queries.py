@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import exact_dedup, language, page_text, private_data, quality, token_counts, word_codec
+from chunkloom.llm import exact_dedup, language, near_dedup, page_text, private_data, quality, token_counts, word_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.query,
         "op4_word_codec": word_codec.query,
         "op5_page_text": page_text.query,
+        "op6_near_dedup": near_dedup.query,
         "op7_private_data": private_data.query,
         "op8_quality": quality.query,
         "op9_token_counts": token_counts.query,
