@@ -6,6 +6,7 @@ import heapq
 import json
 
 WHITE = r"\p{White_Space}"
+NEVER = 1 << 62
 
 
 def byte_alphabet() -> list[str]:
@@ -25,7 +26,8 @@ class Merger:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         v = self.vocab
-        self.ranks = {(v[a], v[b]): (rank, v[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: left id << 17 | right id -> rank << 17 | merged id: the smallest value is the next merge.
+        self.merges = {v[a] << 17 | v[b]: rank << 17 | v[a + b] for rank, (a, b) in enumerate(pairs)}
         alphabet = byte_alphabet()
         self.first = [v.get(c) for c in alphabet]
         self.last = [v.get(c + self.suffix) for c in alphabet]
@@ -41,43 +43,45 @@ class Merger:
         return self._short(ids) if len(ids) <= 48 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        ranks = self.ranks
-        while len(ids) > 1:
-            best = min((ranks[p] + p for p in zip(ids, ids[1:]) if p in ranks), default=None)
-            if best is None:
+        get = self.merges.get
+        due = [get(a << 17 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while due:
+            best = min(due)
+            if best == NEVER:
                 break
-            _, merged, a, b = best
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == a and ids[i + 1] == b:
-                    out.append(merged)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = due.index(best)
+            ids[i : i + 2] = [best & 0x1FFFF]
+            del due[i]
+            if i:
+                due[i - 1] = get(ids[i - 1] << 17 | ids[i], NEVER)
+            if i < len(due):
+                due[i] = get(ids[i] << 17 | ids[i + 1], NEVER)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, n log n for words of any length."""
-        ranks, n = self.ranks, len(ids)
+        get, n = self.merges.get, len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(ranks[p][0], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+        heap = [(m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := get(a << 17 | b, NEVER)) < NEVER]
         heapq.heapify(heap)
+
+        def offer(i: int, j: int) -> None:
+            m = get(ids[i] << 17 | ids[j], NEVER)
+            if m < NEVER:
+                heapq.heappush(heap, (m, i, ids[i], ids[j]))
+
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            merge, i, a, b = heapq.heappop(heap)
             j = after[i]
             if j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], ids[j] = ranks[a, b][1], -1
+            ids[i], ids[j] = merge & 0x1FFFF, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (p := (ids[i], ids[k])) in ranks:
-                    heapq.heappush(heap, (ranks[p][0], i, *p))
-            h = before[i]
-            if h >= 0 and (p := (ids[h], ids[i])) in ranks:
-                heapq.heappush(heap, (ranks[p][0], h, *p))
+                offer(i, k)
+            if before[i] >= 0:
+                offer(before[i], i)
         return [x for x in ids if x >= 0]
 
 

@@ -19,7 +19,7 @@ from chunkloom.llm.common import documents, map_rows, texts_of
 #: Fixed by the vocabulary's format: how byte-level vocabularies split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"[^\s", f"[^{WHITE}").replace(r"\S", r"\P{White_Space}").replace(r"\s", WHITE)
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-REMEMBERED = 1 << 18
+REMEMBERED = 400_000
 
 
 def whole_tokens(spec: str) -> frozenset[str]:
@@ -53,6 +53,10 @@ class Counts(dict):
         return n
 
 
+#: One table of counts a worker process; another vocabulary's replaces it.
+_HELD: dict[int, Counts] = {}
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit, by the byte-level vocabulary file `vocabulary` (read on the driver)."""
     with open(vocabulary, encoding="utf-8") as f:
@@ -61,7 +65,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
 
     def work():
         spec, whole = shared.value
-        counts = Counts(whole, Merger(spec))
+        key = hash(spec)
+        if key not in _HELD:
+            _HELD.clear()
+            _HELD[key] = Counts(whole, Merger(spec))
+        counts = _HELD[key]
         find, special = regex.compile(SPLIT).findall, special_tokens(spec)
         cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
