@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import exact_dedup, language, near_dedup, page_text, private_data, quality, token_counts, word_codec
+from chunkloom.llm import decontamination, exact_dedup, language, near_dedup, page_text, private_data, quality, token_counts, word_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": language.query,
         "op2_exact_dedup": exact_dedup.query,
+        "op3_decontamination": decontamination.query,
         "op4_word_codec": word_codec.query,
         "op5_page_text": page_text.query,
         "op6_near_dedup": near_dedup.query,
