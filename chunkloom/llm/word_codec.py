@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections import Counter
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm.bpe import WHITE, Merger, special_tokens
-from chunkloom.llm.common import documents, map_rows, sha_hex, share_bytes, texts_of
+from chunkloom.llm.common import documents, map_rows, materialise, sha_hex, share_bytes, texts_of
 
 #: Fixed by the vocabulary's format: the pre-tokens of word-end vocabularies; what lies between them is dropped.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
-LEXICON_WORDS = 32768
-REMEMBERED = 1 << 18
+LEXICON_WORDS = 1 << 17
+REMEMBERED = 400_000
 
 
 class Words:
@@ -112,8 +113,8 @@ class Lexicon:
             at += n
         self.keys, self.to, self.skip, self.final, self.offsets, self.outputs = parts
 
-    def look_up(self, words: list[str]) -> list[bytes | None]:
-        """Ids of each word as little-endian 32-bit integers, or None for words outside the lexicon."""
+    def look_up(self, words: list[str]) -> list[np.ndarray | None]:
+        """Ids of each word, or None for words outside the lexicon."""
         if not words or not len(self.keys):
             return [None] * len(words)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -136,15 +137,18 @@ class Lexicon:
             live = live[length[live] > level]
         known = state >= 0
         known[known] = self.final[state[known]] > 0
-        return [self.outputs[self.offsets[k] : self.offsets[k + 1]].astype("<u4").tobytes() if ok else None for ok, k in zip(known.tolist(), number.tolist())]
+        return [self.outputs[self.offsets[k] : self.offsets[k + 1]] if ok else None for ok, k in zip(known.tolist(), number.tolist())]
 
 
 class Codes(dict):
-    """Word -> id bytes within a task: lexicon first, exact merging for the rest."""
+    """Word -> (id bytes, name bytes) within a worker: lexicon first, exact merging for the rest."""
 
     def __init__(self, lexicon: Lexicon, merger: Merger, special: dict[str, int]):
         super().__init__()
         self.lexicon, self.merger, self.special = lexicon, merger, special
+        self.names = [b""] * (max([*merger.vocab.values(), *special.values()]) + 1)
+        for name, number in (merger.vocab | special).items():
+            self.names[number] = name.encode()
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -153,12 +157,14 @@ class Codes(dict):
             new = list(words)
         for word, ids in zip(new, self.lexicon.look_up(new)):
             if ids is None:
-                ids = np.array([self.special[word[1:]]] if word[:1] == "\0" and word[1:] in self.special else self.merger.ids(word), "<u4").tobytes()
-            self[word] = ids
+                ids = [self.special[word[1:]]] if word[:1] == "\0" and word[1:] in self.special else self.merger.ids(word)
+            else:
+                ids = ids.tolist()
+            self[word] = pack(f"<{len(ids)}I", *ids), b" ".join([self.names[i] for i in ids])
 
 
 def frequent_words(docs: DataFrame, spec: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The `limit` most frequent pre-tokens of all texts (ties by word); counted per task first, then by Spark."""
+    """The most frequent pre-tokens of all texts, whole classes of equal frequency (eighths of a doubling) up to `limit`; counted per batch first, then by Spark."""
 
     def work():
         words = Words(spec)
@@ -172,8 +178,40 @@ def frequent_words(docs: DataFrame, spec: str, limit: int = LEXICON_WORDS) -> li
 
         return step
 
-    counts = map_rows(docs.select("text"), work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()]  # bounded by `limit`
+    counts = map_rows(docs.select("text"), work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = materialise(counts.withColumn("class", F.floor(8 * F.log2("n")).cast("int")), "words")
+    least, total = 0, 0
+    for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):  # at most 8 classes for each doubling
+        total += r["count"]
+        if total > limit:
+            least = r["class"] + 1
+            break
+    return [r.word for r in counts.where(F.col("class") >= least).select("word").collect()]  # at most `limit` words
+
+
+#: One lexicon a worker process, with what it has learnt; another corpus' lexicon replaces it.
+_HELD: dict[str, tuple[Words, Codes]] = {}
+
+
+def _worker(file: str, spec: str) -> tuple[Words, Codes]:
+    if file not in _HELD:
+        _HELD.clear()
+        words = Words(spec)
+        _HELD[file] = words, Codes(Lexicon(SparkFiles.get(file)), Merger(spec), words.special)
+    return _HELD[file]
+
+
+def _portions(texts: list[str], chars: int = 1 << 20):
+    """The texts in runs of about so many characters."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS, keep_ids: bool = True) -> DataFrame:
@@ -186,24 +224,20 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_words: int = LEXICON_WORDS,
     shared = spark.sparkContext.broadcast(spec)  # one vocabulary file: under 2 MB at any corpus size
 
     def work():
-        spec = shared.value
-        words, merger = Words(spec), Merger(spec)
-        codes = Codes(Lexicon(SparkFiles.get(file)), merger, words.special)
-        names = [""] * (max([*merger.vocab.values(), *words.special.values()]) + 1)
-        for name, number in (merger.vocab | words.special).items():
-            names[number] = name
-        name_bytes = [n.encode() for n in names]
+        words, codes = _worker(file, shared.value)
 
         def step(batch):
             rows = [], [], [], []
-            for text in texts_of(batch):
-                own = words.of(text)
-                codes.learn(set(own))
-                ids = b"".join(map(codes.__getitem__, own))
-                rows[0].append(len(ids) // 4)
-                rows[1].append(sha_hex(ids))
-                rows[2].append(sha_hex(b" ".join(map(name_bytes.__getitem__, memoryview(ids).cast("I")))))
-                rows[3].append(ids if keep_ids else None)
+            for texts in _portions(texts_of(batch)):
+                own = [words.of(t) for t in texts]
+                codes.learn(set().union(*own))
+                for ws in own:
+                    found = [codes[w] for w in ws]
+                    ids = b"".join([f[0] for f in found])
+                    rows[0].append(len(ids) // 4)
+                    rows[1].append(sha_hex(ids))
+                    rows[2].append(sha_hex(b" ".join([f[1] for f in found if f[1]])))
+                    rows[3].append(ids if keep_ids else None)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.binary())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
         return step
