@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,3 +78,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def filter_rows(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of df, all columns, that work()'s step marks true; rows stay in their tasks."""
+
+    def set_up():
+        step = work()
+        return lambda batch: batch.filter(pa.array(step(batch), pa.bool_()))
+
+    return map_rows(df, set_up, df.schema)
+
+
+#: Ids up to which a list of documents to drop is broadcast (8 bytes each); a longer one is joined by shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in dropped(doc_id). A row without doc_id stays."""
+    ids = materialise(dropped.select("doc_id").where("doc_id is not null").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)

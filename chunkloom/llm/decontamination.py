@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import documents, map_rows, table, texts_of
+from chunkloom.llm.common import documents, filter_rows, map_rows, table, texts_of
 
 K1, B = 1.5, 0.75
 PIECE = 48
@@ -222,15 +222,15 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
             index = shared.value
 
             def step(batch):
-                keep = np.ones(batch.num_rows, bool)
+                keep = [True] * batch.num_rows
                 for start, texts in portions(texts_of(batch)):
                     for k, *_ in index.matches(texts):
                         keep[start + k] = False
-                return batch.filter(pa.array(keep))
+                return keep
 
             return step
 
-        docs = map_rows(docs, work, docs.schema)
+        docs = filter_rows(docs, work)
     return docs
 
 

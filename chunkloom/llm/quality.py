@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import documents, map_rows, table, texts_of
+from chunkloom.llm.common import documents, filter_rows, map_rows, table, texts_of
 
 #: Labelled documents that the field is fitted on, those with the smallest hashes of doc_id.
 SAMPLE_DOCS = 12_000
@@ -200,6 +200,24 @@ def score(docs: DataFrame, field: LineField) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), work, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, field: LineField, least: float = KEEP) -> DataFrame:
+    """The rows of docs (all columns) whose text scores at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def work():
+        field = shared.value
+
+        def step(batch):
+            rows = [lines_of(t) for t in texts_of(batch)]
+            if not rows:
+                return []
+            return (field.scores(np.concatenate([x for x, _ in rows]), np.concatenate([n for _, n in rows]), np.array([len(x) for x, _ in rows])) >= least).tolist()
+
+        return step
+
+    return filter_rows(docs, work)
+
+
 def held_out():
     """Rows kept for testing: crc32 of doc_id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import decontamination, exact_dedup, language, near_dedup, page_text, private_data, quality, token_counts, word_codec
+from chunkloom.llm import decontamination, exact_dedup, language, near_dedup, page_text, private_data, quality, repeats, token_counts, word_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_private_data": private_data.query,
         "op8_quality": quality.query,
         "op9_token_counts": token_counts.query,
+        "op10_repeats": repeats.query,
     }
 
 
