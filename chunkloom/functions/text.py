@@ -88,24 +88,43 @@ def contains_all(x: Column, terms: Column) -> Column:
     return F.forall(terms, lambda t: F.contains(x, t))
 
 
+def let(x: Column, use) -> Column:
+    """use(x) with x evaluated once, however often `use` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def prepared(x: Column | str) -> Column:
+    """What overlaps need of a text: tokens, its compact form, and that form's phrase terms."""
+    return let(compact(x), lambda c: F.struct(token_set(x).alias("tokens"), c.alias("compact"), phrase_terms(c).alias("terms")))
+
+
+def keyword_share(question: Column, text: Column) -> Column:
+    """keyword_overlap of two prepared texts."""
+    return F.when(F.size(question.tokens) == 0, 0.0).otherwise(F.size(F.array_intersect(question.tokens, text.tokens)) / F.size(question.tokens))
+
+
+def phrase_share(question: Column, text: Column) -> Column:
+    """phrase_overlap of two prepared texts."""
+
+    def once(form: Column) -> Column:
+        def shares(own: Column) -> Column:
+            forth = F.size(F.filter(own, lambda x: F.contains(text.compact, x))) / F.size(own)
+            back = F.size(F.filter(text.terms, lambda x: F.contains(form, x))) / F.size(text.terms)
+            return F.when(F.size(own) == 0, 0.0).when(F.size(text.terms) == 0, forth).otherwise(F.greatest(forth, 0.8 * back))
+
+        return F.when(F.contains(text.compact, form), 1.0).otherwise(let(phrase_terms(form), shares))
+
+    return F.when((question.compact == "") | (text.compact == ""), 0.0).otherwise(F.array_max(F.transform(phrase_forms(question.compact), once)))
+
+
 def keyword_overlap(question: Column | str, text: Column | str) -> Column:
     """Share of the question's tokens that the text has."""
-    q = token_set(question)
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, token_set(text))) / F.size(q))
+    return let(prepared(question), lambda q: let(prepared(text), lambda t: keyword_share(q, t)))
 
 
 def phrase_overlap(question: Column | str, text: Column | str) -> Column:
     """1 if the text contains the question (or its focused form), else the better of two shares of common phrase terms."""
-    q, t = compact(question), compact(text)
-    terms = phrase_terms(t)
-
-    def once(form: Column) -> Column:
-        own = phrase_terms(form)
-        forth = F.size(F.filter(own, lambda x: F.contains(t, x))) / F.size(own)
-        back = F.size(F.filter(terms, lambda x: F.contains(form, x))) / F.size(terms)
-        return F.when(F.contains(t, form), 1.0).when(F.size(own) == 0, 0.0).when(F.size(terms) == 0, forth).otherwise(F.greatest(forth, 0.8 * back))
-
-    return F.when((q == "") | (t == ""), 0.0).otherwise(F.array_max(F.transform(phrase_forms(q), once)))
+    return let(prepared(question), lambda q: let(prepared(text), lambda t: phrase_share(q, t)))
 
 
 def sentences(x: Column | str) -> Column:

@@ -35,15 +35,19 @@ def hard_slices(x: Column, size: int) -> Column:
 
 def long_unit(x: Column, size: int) -> Column:
     """A text as pieces of up to `size`: sentences packed greedily with spaces; a single over-long sentence in slices, one among others whole."""
-    own = T.sentences(x)
+    return T.let(x, lambda v: _long_unit(v, size))
+
 
+def _long_unit(x: Column, size: int) -> Column:
     def step(s: Column, sentence: Column) -> Column:
         over = (s.now != "") & (F.length(s.now) + 1 + F.length(sentence) > size)
         return F.when(over, _state(F.array_append(s.done, s.now), sentence)).otherwise(_state(s.done, F.when(s.now == "", sentence).otherwise(F.concat(s.now, F.lit(" "), sentence))))
 
-    packed = F.aggregate(own, _start(), step, _closed)
-    plain = T.normal_lines(x)
-    return F.when(plain == "", F.array().cast("array<string>")).when(F.length(plain) <= size, F.array(plain)).when(F.size(own) == 1, hard_slices(plain, size)).otherwise(packed)
+    def cut(plain: Column) -> Column:
+        packed = T.let(T.sentences(plain), lambda own: F.when(F.size(own) == 1, hard_slices(plain, size)).otherwise(F.aggregate(own, _start(), step, _closed)))
+        return F.when(plain == "", F.array().cast("array<string>")).when(F.length(plain) <= size, F.array(plain)).otherwise(packed)
+
+    return T.let(T.normal_lines(x), cut)
 
 
 def tail(x: Column, overlap: int) -> Column:
@@ -78,7 +82,9 @@ def semantic_chunks(units: Column, breaks: Column, size: int = 500, overlap: int
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n")).cast(kind)
 
     def step(a: Column, r: Column) -> Column:
-        now, n = F.concat_ws(" ", T.filled(a.now), r.s), a.n + 1
+        return T.let(F.concat_ws(" ", T.filled(a.now), r.s), lambda now: grown(a, r, now, a.n + 1))
+
+    def grown(a: Column, r: Column, now: Column, n: Column) -> Column:
         enough = F.length(now) >= min(LEAST_CHUNK, size)
         cut = (enough & (r.cut | (F.length(now) >= size))) | (r.cut & (n >= 2))
         rest = tail(now, overlap)
@@ -90,11 +96,17 @@ def semantic_chunks(units: Column, breaks: Column, size: int = 500, overlap: int
 
 def breakpoints(similar: Column, percentile: float = 20.0) -> Column:
     """Places whose similarity to the next sentence is at or below the percentile (linear between ranks) of all of them."""
-    ordered, n = F.array_sort(similar), F.size(similar)
-    at = F.lit(min(max(percentile, 0.0), 100.0) / 100) * (n - 1)
-    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
-    limit = low + (high - low) * (at - F.floor(at))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.filter(F.transform(similar, lambda s, i: F.when(s <= limit, i)), lambda i: i.isNotNull()))
+    share = min(max(percentile, 0.0), 100.0) / 100
+
+    def limit(ordered: Column) -> Column:
+        at = F.lit(share) * (F.size(ordered) - 1)
+        low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    def places(s: Column) -> Column:
+        return T.let(T.let(F.array_sort(s), limit), lambda t: F.filter(F.transform(s, lambda x, i: F.when(x <= t, i)), lambda i: i.isNotNull()))
+
+    return T.let(similar, lambda s: F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(places(s)))
 
 
 def table_chunks(lines: Column, size: int = 500) -> Column:

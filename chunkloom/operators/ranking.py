@@ -13,6 +13,8 @@ from chunkloom.functions import vectors as V
 
 K1, B = 1.5, 0.75
 VECTOR_SHARE, KEYWORD_SHARE = 0.65, 0.35
+#: Added before rounding to six places, so that exact halves go up whatever their binary form.
+HALF_UP = 1e-9
 #: Questions (rows of a question table) that may be broadcast; a larger table joins by shuffle.
 BROADCAST_QUESTIONS = 20_000
 
@@ -30,8 +32,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
 
 def postings(chunks: DataFrame, text: str | Column = "content", keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
     """keys, term, tf, dl: how often each term occurs in each chunk, and the chunk's length in terms."""
-    bag = T.term_bag(text)
-    terms = chunks.select(*keys, F.size(bag).alias("dl"), F.explode(bag).alias("term"))
+    bags = chunks.select(*keys, T.term_bag(text).alias("bag")).withColumn("dl", F.size("bag"))
+    terms = bags.select(*keys, "dl", F.explode("bag").alias("term"))  # the length is taken once a chunk, before the terms are spread
     return terms.groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -86,12 +88,19 @@ def coarse_scores(pairs: DataFrame) -> DataFrame:
 
 def with_signals(pairs: DataFrame, text: str) -> DataFrame:
     """Adds kw_plain, ph_plain (of the question's plain form), by_form (kw, ph, w of each rewrite), evidence and relation of a text column."""
-    body = F.col(text)
-    plain = F.col("intent.normalized_query")
-    normal = pairs.withColumn("normal", T.compact(text))
-    forms = F.transform("intent.forms", lambda f: F.struct(T.keyword_overlap(f.text, body).alias("kw"), T.phrase_overlap(f.text, body).alias("ph"), f.weight.alias("w")))
-    related = normal.withColumn("relation", U.relation_evidence(F.col("intent"), F.col("normal")))
-    return related.select("*", U.evidence(F.col("intent"), F.col("normal"), F.col("relation")).alias("evidence"), T.keyword_overlap(plain, body).alias("kw_plain"), T.phrase_overlap(plain, body).alias("ph_plain"), forms.alias("by_form")).drop("normal")
+
+    def overlaps(body: Column) -> Column:
+        def shares(asked: Column, weight: Column) -> Column:
+            return T.let(T.prepared(asked), lambda q: F.struct(T.keyword_share(q, body).alias("kw"), T.phrase_share(q, body).alias("ph"), weight.alias("w")))
+
+        return F.struct(shares(F.col("intent.normalized_query"), F.lit(1.0)).alias("plain"), F.transform("intent.forms", lambda f: shares(f.text, f.weight)).alias("by_form"))
+
+    def stated(normal: Column) -> Column:
+        related = U.relation_evidence(F.col("intent"), normal)
+        return T.let(related, lambda r: F.struct(r.alias("relation"), U.evidence(F.col("intent"), normal, r).alias("evidence")))
+
+    both = pairs.withColumn("_o", T.let(T.prepared(text), overlaps)).withColumn("_s", T.let(T.compact(text), stated))
+    return both.select(*pairs.columns, "_s.relation", "_s.evidence", F.col("_o.plain.kw").alias("kw_plain"), F.col("_o.plain.ph").alias("ph_plain"), F.col("_o.by_form").alias("by_form"))
 
 
 def max_normal(df: DataFrame, column: str, by: str = "question_id") -> DataFrame:
@@ -116,7 +125,7 @@ def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, k: int) -> DataFrame
     one, two = max_normal(one, "vector_score"), max_normal(two, "keyword_score")
     keys = ["question_id", "chunk_id", "chunk_index"]
     both = one.select(*keys, "vector_score").join(two.select(*keys, "keyword_score"), keys, "full_outer").select(*keys, F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"), F.col("vector_score").isNotNull().alias("by_vector"))
-    mixed = both.withColumn("final_score", F.round(VECTOR_SHARE * F.col("vector_score") + KEYWORD_SHARE * F.col("keyword_score"), 6)).where("final_score > 0")
+    mixed = both.withColumn("final_score", F.round(VECTOR_SHARE * F.col("vector_score") + KEYWORD_SHARE * F.col("keyword_score") + HALF_UP, 6)).where("final_score > 0")
     return ranked(mixed, ["question_id"], [F.desc("final_score"), F.desc("vector_score"), F.desc("keyword_score"), F.asc("chunk_index"), F.asc("chunk_id")], 3 * k)
 
 
@@ -167,6 +176,6 @@ def fuse_scores(hits: DataFrame, k: int, candidates: int = 30, model: float = 0.
     """hits(rule_score, rank, model_score): within the first max(k, candidates) of each question both scores are stretched and mixed; the rest follows in its old order."""
     m, r = shares(model, rule)
     pool = hits.withColumn("in_pool", F.col("rank") <= max(k, candidates))
-    one = pool.where("in_pool").withColumn("mixed", F.round(m * min_max_normal("model_score") + r * min_max_normal("rule_score"), 6))
+    one = pool.where("in_pool").withColumn("mixed", F.round(m * min_max_normal("model_score") + r * min_max_normal("rule_score") + HALF_UP, 6))
     both = one.unionByName(pool.where("not in_pool"), allowMissingColumns=True).withColumnRenamed("rank", "rule_rank")
     return ranked(both, ["question_id"], [F.desc("in_pool"), F.desc_nulls_last("mixed"), F.asc("rule_rank")], k).drop("in_pool")

@@ -52,7 +52,7 @@ vn AS (SELECT question_id, chunk_id, chunk_index, round(vector_score / max(vecto
 kn AS (SELECT question_id, chunk_id, chunk_index, round(keyword_score / max(keyword_score) OVER (PARTITION BY question_id), 6) AS keyword_score FROM k20),
 mixed AS (
   SELECT question_id, chunk_id, chunk_index, coalesce(vector_score, 0.0) AS vector_score, coalesce(keyword_score, 0.0) AS keyword_score, vector_score IS NOT NULL AS by_vector,
-    round(0.65 * coalesce(vector_score, 0.0) + 0.35 * coalesce(keyword_score, 0.0), 6) AS final_score
+    round(0.65 * coalesce(vector_score, 0.0) + 0.35 * coalesce(keyword_score, 0.0) + 1e-9, 6) AS final_score
   FROM vn FULL JOIN kn USING (question_id, chunk_id, chunk_index)),
 hy AS (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final_score DESC, vector_score DESC, keyword_score DESC, chunk_index, chunk_id) AS rank
@@ -60,7 +60,7 @@ hy AS (
 SHOWN = """shown AS (
   SELECT question_id, rank, final_score AS score, l.* FROM hy JOIN leaves l USING (chunk_id))"""
 SECTION = "CASE WHEN CAST(substr(source_section, 6) AS INTEGER) = source_page THEN '' ELSE '第' || substr(source_section, 6) || '页' END"
-SENTENCES = r"list_filter(list_transform(regexp_extract_all(text, '[^.!?\n。！？；;]*[.!?\n。！？；;]|[^.!?\n。！？；;]+$'), s -> regexp_replace(s, '^\s+|\s+$', '', 'g')), s -> s <> '')"
+SENTENCES = r"list_filter(list_transform(regexp_extract_all(text, '[^.!?\n。！？；;]*[.!?\n。！？；;]|[^.!?\n。！？；;]+$'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
 def _with(*parts: str) -> str:
@@ -184,7 +184,7 @@ def document_delete(spark, d):
 # Text
 
 
-@query("q_normalize_text", r"SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), l -> regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
+@query("q_normalize_text", r"SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
 def normalize_text(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.md5(T.normal_lines("text")).alias("digest"))
 
@@ -212,13 +212,13 @@ def sentence_split(spark, d):
     return own.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@query("q_paragraph_split", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), l -> trim(l) <> '')) AS INTEGER) AS n FROM documents")
+@query("q_paragraph_split", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS INTEGER) AS n FROM documents")
 def paragraph_split(spark, d):
     spaced = F.regexp_replace("text", "\n", "\n \n")
     return S.table(spark, d, "documents").select("doc_id", F.size(T.paragraphs(spaced)).alias("n"))
 
 
-@query("q_md_sections", r"SELECT page_id, CAST(len(p) AS INTEGER) AS n_sections FROM (SELECT page_id, list_filter(regexp_extract_all(html, '<p>([^<]*)</p>', 1), x -> regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS p FROM pages) WHERE len(p) > 0")
+@query("q_md_sections", r"SELECT page_id, CAST(len(p) AS INTEGER) AS n_sections FROM (SELECT page_id, list_filter(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS p FROM pages) WHERE len(p) > 0")
 def md_sections(spark, d):
     rows = F.filter(F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1)), T.strip), lambda x: x != "")
     as_md = S.table(spark, d, "pages").select("page_id", F.array_join(F.transform(rows, lambda x, i: F.concat(F.lit("## "), i.cast("string"), F.lit("\n"), x)), "\n").alias("md")).where("md <> ''")
@@ -241,7 +241,7 @@ def _order_tables(spark, d):
 
 
 @query("q_table_chunks", """WITH t AS (SELECT o_custkey, list('| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |' ORDER BY o_orderkey) AS r FROM orders GROUP BY 1),
-s AS (SELECT *, greatest(3, least(12, 700 // greatest(1, CAST(floor(list_sum(list_transform(r, x -> length(x))) / len(r)) AS BIGINT)))) AS step FROM t)
+s AS (SELECT *, greatest(3, least(12, 700 // greatest(1, CAST(floor(list_sum(list_transform(r, lambda x: length(x))) / len(r)) AS BIGINT)))) AS step FROM t)
 SELECT o_custkey, CAST(i + 1 AS INTEGER) AS row_from, CAST(least(i + step, len(r)) AS INTEGER) AS row_to, md5('| key | status | priority |' || chr(10) || '| --- | --- | --- |' || chr(10) || array_to_string(r[i + 1 : i + step], chr(10))) AS digest
 FROM (SELECT *, unnest(range(0, len(r), step)) AS i FROM s)""")
 def table_chunks(spark, d):
@@ -305,13 +305,13 @@ def percentile_breaks(spark, d):
 # Vectors
 
 
-@query("q_vector_topk", _with(VECTORS) + "SELECT question_id, chunk_id, vector_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM vs QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY question_id ORDER BY vector_score DESC, chunk_id DESC)")
+@query("q_vector_topk", _with(VECTORS) + "SELECT question_id, chunk_id, vector_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM vs WINDOW w AS (PARTITION BY question_id ORDER BY vector_score DESC, chunk_id DESC) QUALIFY row_number() OVER w <= 10")
 def vector_topk(spark, d):
     held = S.leaf_vectors(spark, d).join(S.leaves(spark, d).select("chunk_id"), "chunk_id")
     return N.exact(S.questions(spark, d), held, 10).select("question_id", "chunk_id", "vector_score", "rank")
 
 
-@query("q_vector_topk_filtered", _with(VECTORS) + "SELECT question_id, chunk_id, vector_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM vs WHERE chunk_id // 4 % 3 = 1 AND chunk_id // 4 < 60 QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY question_id ORDER BY vector_score DESC, chunk_id DESC)")
+@query("q_vector_topk_filtered", _with(VECTORS) + "SELECT question_id, chunk_id, vector_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM vs WHERE chunk_id // 4 % 3 = 1 AND chunk_id // 4 < 60 WINDOW w AS (PARTITION BY question_id ORDER BY vector_score DESC, chunk_id DESC) QUALIFY row_number() OVER w <= 5")
 def vector_topk_filtered(spark, d):
     scope = S.leaves(spark, d).where("user_id = 1 and document_id < 60").select("chunk_id")
     return N.exact(S.questions(spark, d), S.leaf_vectors(spark, d).join(scope, "chunk_id"), 5).select("question_id", "chunk_id", "vector_score", "rank")
@@ -320,25 +320,25 @@ def vector_topk_filtered(spark, d):
 @query("q_ivf_topk")
 def ivf_topk(spark, d):
     index = N.InvertedLists(S.leaf_vectors(spark, d), n_lists=16)
-    return index.search(S.questions(spark, d), 10, probes=10).select("question_id", "chunk_id", "vector_score", "rank")
+    return index.search(S.questions(spark, d), 10, probes=13).select("question_id", "chunk_id", "vector_score", "rank")
 
 
 @query("q_ann_recall")
 def ann_recall(spark, d):
     vectors, asked = S.leaf_vectors(spark, d), S.questions(spark, d)
-    return N.recall(N.InvertedLists(vectors, n_lists=16).search(asked, 10, probes=10), N.exact(asked, vectors, 10))
+    return N.recall(N.InvertedLists(vectors, n_lists=16).search(asked, 10, probes=13), N.exact(asked, vectors, 10))
 
 
 # Keywords
 
 
-@query("q_bm25_topk", _with(LEAVES, KEYWORDS) + "SELECT question_id, chunk_id, keyword_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM kw QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_index DESC, chunk_id DESC)")
+@query("q_bm25_topk", _with(LEAVES, KEYWORDS) + "SELECT question_id, chunk_id, keyword_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM kw WINDOW w AS (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_index DESC, chunk_id DESC) QUALIFY row_number() OVER w <= 5")
 def bm25_topk(spark, d):
     hits = R.bm25(S.leaves(spark, d), R.question_terms(S.questions(spark, d)))
     return R.ranked(hits, ["question_id"], [F.desc("keyword_score"), F.desc("chunk_index"), F.desc("chunk_id")], 5).select("question_id", "chunk_id", "keyword_score", "rank")
 
 
-@query("q_bm25_scoped", _with(LEAVES.replace("FROM documents)", "FROM documents WHERE (doc_id // 4) % 3 = 2)"), KEYWORDS) + "SELECT question_id, chunk_id, keyword_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM kw QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_index DESC, chunk_id DESC)")
+@query("q_bm25_scoped", _with(LEAVES.replace("FROM documents)", "FROM documents WHERE (doc_id // 4) % 3 = 2)"), KEYWORDS) + "SELECT question_id, chunk_id, keyword_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM kw WINDOW w AS (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_index DESC, chunk_id DESC) QUALIFY row_number() OVER w <= 5")
 def bm25_scoped(spark, d):
     """All users' scopes in one pass; each question belongs to user 2 here."""
     terms = R.question_terms(S.questions(spark, d)).withColumn("user_id", F.lit(2).cast("long"))
@@ -441,7 +441,7 @@ def retrieve(spark, d):
 
 @query("q_pair_scorer_fusion", _with(LEAVES, KEYWORDS, VECTORS, HYBRID) + """, m AS (SELECT question_id, chunk_id, final_score AS rule_score, rank, 1.0 / (1 + abs(length(text) - length(content))) AS model_score FROM hy JOIN leaves USING (chunk_id) JOIN benchmark ON item_id = question_id),
 p AS (SELECT *, rank <= 15 AS pool FROM m),
-x AS (SELECT *, CASE WHEN pool THEN round(0.65 * (CASE WHEN max(model_score) OVER w <= min(model_score) OVER w THEN 0.5 ELSE (model_score - min(model_score) OVER w) / (max(model_score) OVER w - min(model_score) OVER w) END) + 0.35 * (CASE WHEN max(rule_score) OVER w <= min(rule_score) OVER w THEN 0.5 ELSE (rule_score - min(rule_score) OVER w) / (max(rule_score) OVER w - min(rule_score) OVER w) END), 6) END AS mixed FROM p WINDOW w AS (PARTITION BY question_id, pool))
+x AS (SELECT *, CASE WHEN pool THEN round(0.65 * (CASE WHEN max(model_score) OVER w <= min(model_score) OVER w THEN 0.5 ELSE (model_score - min(model_score) OVER w) / (max(model_score) OVER w - min(model_score) OVER w) END) + 0.35 * (CASE WHEN max(rule_score) OVER w <= min(rule_score) OVER w THEN 0.5 ELSE (rule_score - min(rule_score) OVER w) / (max(rule_score) OVER w - min(rule_score) OVER w) END) + 1e-9, 6) END AS mixed FROM p WINDOW w AS (PARTITION BY question_id, pool))
 SELECT question_id, chunk_id, mixed, CAST(row_number() OVER (PARTITION BY question_id ORDER BY pool DESC, mixed DESC NULLS LAST, rank) AS INTEGER) AS rank FROM x""")
 def pair_scorer_fusion(spark, d):
     """A scorer that likes texts as long as the question stands for the model."""

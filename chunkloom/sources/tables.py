@@ -57,7 +57,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run steps from the event stream: one step for each event of a user's run."""
     state = F.when(F.col("event_type") == "error", "failed").otherwise("completed")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step_id"), F.col("event_type").alias("step_type"), state.alias("status"), F.col("ts").alias("started_at"), F.col("props").alias("payload"), "value")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step_id"), F.col("event_type").alias("step_type"), state.alias("status"), F.col("ts").cast("timestamp").alias("started_at"), F.col("props").alias("payload"), "value")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
