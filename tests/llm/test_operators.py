@@ -1,0 +1,280 @@
+"""Operators against brute force, the tokenizers' own library, or held-out labels."""
+
+import hashlib
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from chunkloom.llm import bpe, components, decontamination, exact_dedup, fuse_filter, language, near_dedup, page_text, private_data, quality, repeats, token_counts, word_codec
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+def library(name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="ab éÉß'sS12._<|endoftext|>\u0085 \n", max_size=60))
+def test_tokens_of_any_text(text):
+    words, merger = held(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [i for w in words.of(text) for i in ([words.special[w[1:]]] if w[:1] == "\0" and w[1:] in words.special else merger.ids(w))]
+    assert ids == library_of("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="ab éÉß'sS12._\u0085\u001c \n\t", max_size=60))
+def test_pre_tokens_of_any_text(text):
+    merger = held(public_tokenizers.path("byte_bpe_50k.json"))[1]
+    ids = [i for w in bpe.Splitter(token_counts.SPLIT)(text) for i in merger.ids(w)]
+    assert ids == library_of("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+
+
+_HELD = {}
+
+
+def held(path):
+    if path not in _HELD:
+        spec = open(path, encoding="utf-8").read()
+        _HELD[path] = word_codec.Words(spec), bpe.Merger(spec)
+    return _HELD[path]
+
+
+def library_of(name):
+    return _HELD.setdefault("lib " + name, library(name))
+
+
+def test_long_words_merge_alike():
+    merger = held(public_tokenizers.path("word_bpe_49k.json"))[1]
+    word = "internationalisation" * 40
+    first = [merger.first[b] for b in word.encode()[:-1]] + [merger.last[word.encode()[-1]]]
+    assert merger._long(list(first)) == merger._short(list(first)) == library_of("word_bpe_49k.json").encode(word, add_special_tokens=False).ids
+
+
+def test_encode_as_the_library(docs, texts):
+    t = library("word_bpe_49k.json")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = word_codec.encode(docs, path).cache()
+    back = {r.doc_id: r.text for r in word_codec.decode(rows, path).collect()}
+    for r in rows.collect():
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = t.decode(ids, skip_special_tokens=False)
+        assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest() and back[r.doc_id] == decoded
+
+
+def test_counts_as_the_library(docs, texts):
+    t = library("byte_bpe_50k.json")
+    for r in token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect():
+        assert (r.n_tokens, r.n_bytes) == (len(t.encode(texts[r.doc_id], add_special_tokens=False).ids), len(texts[r.doc_id].encode()))
+
+
+def test_lexicon_shares_suffixes(tmp_path):
+    words = {"talking": [1], "walking": [2, 3], "walk": [4], "talk": [], "é": [9]}
+    path = tmp_path / "lexicon"
+    path.write_bytes(word_codec.build_lexicon(words))
+    lexicon = word_codec.Lexicon(str(path))
+    assert [None if x is None else list(x) for x in lexicon.look_up(["talking", "walking", "walk", "talk", "é", "wal", "walkings", ""])] == [[1], [2, 3], [4], [], [9], None, None, None]
+    assert len(lexicon.final) < 12
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 50, 5000])
+def test_fuse_filter(n):
+    rng = np.random.default_rng(n)
+    keys = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    data = fuse_filter.build(keys)
+    assert fuse_filter.probe(data, keys).all() and fuse_filter.probe(data, rng.integers(0, 1 << 63, 20_000).astype(np.uint64)).mean() < 0.01
+
+
+def test_exact_groups(docs, texts):
+    groups = {}
+    for i, x in texts.items():
+        groups.setdefault(x.encode().lower(), []).append(i)
+    for r in exact_dedup.deduplicate(docs).collect():
+        own = groups[texts[r.doc_id].encode().lower()]
+        assert (r.keep_id, r.group_size, r.kept) == (max(own), len(own), r.doc_id == max(own))
+
+
+def test_digest_clash_is_resolved_by_bytes(spark):
+    """Two texts under one digest: the byte check finds it, and the texts themselves are grouped."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "B")], "doc_id long, text string")
+    digest = bytearray(hashlib.sha256(b"a").digest())
+    members = spark.createDataFrame([(1, digest, 3), (2, digest, 3), (3, digest, 3)], "doc_id long, digest binary, keep_id long")
+    assert exact_dedup._byte_checked(docs, members).where("not same").count() == 1
+
+
+def brute_components(texts, k):
+    sets = {i: near_dedup.shingle_set(near_dedup.words_of(x), k) for i, x in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sets, {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_components(docs, texts, k):
+    sets, want = brute_components(texts, k)
+    got = near_dedup.link(docs, k).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and all(r.n_shingles == len(sets[r.doc_id]) for r in got)
+
+
+def test_chain_of_near_copies(spark):
+    """A long chain whose ends are unlike, and texts near each other without being linked."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[: 200 - 6 * i] + [f"x{j}" for j in range(6 * i)])) for i in range(12)]
+    rows += [(100 + i, " ".join(base[:150] + [f"y{i}_{j}" for j in range(50)])) for i in range(40)]
+    texts = dict(rows)
+    want = brute_components(texts, 2)[1]
+    assert {r.doc_id: r.component_id for r in near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()} == want
+
+
+def test_pairs_by_products():
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(30)] for _ in range(2))
+    want = [[100 * len(set(a) & set(b)) >= 50 * len(set(a) | set(b)) for b in right] for a in left]
+    assert near_dedup.similar_pairs(left, right, 50).tolist() == want
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, j) for j in range(101, 160)] + [(7, 7)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(61)} == {0} and {got[j] for j in range(100, 160)} == {100}
+
+
+def test_leaks(spark, docs, texts):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()
+    index = decontamination.Index([(r.item_id, r.text) for r in items])
+    want = set()
+    for i, x in texts.items():
+        own = decontamination.shingles(decontamination.words_of(x))
+        for r, (whole, question, answer, _) in zip(items, index.parts):
+            share = [len(p & own) / len(p) if p else 1 for p in (whole, question, answer)]
+            if share[0] >= 0.8 or min(share[1:]) >= 0.8:
+                want.add((i, r.item_id))
+    got = decontamination.search(docs, spark.createDataFrame(items)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and want
+    planted = "IN PASSING: " + items[3].text.upper().replace(" ", "\n") + " and on"
+    assert [r.item_id for r in decontamination.search(spark.createDataFrame([(1, planted)], "doc_id long, text string"), spark.createDataFrame(items)).collect()] == [items[3].item_id]
+
+
+@pytest.mark.parametrize("length", [32, 50, 400])
+def test_repeats(spark, docs, texts, length):
+    rows = sorted(texts.items())[:40] if length < 400 else sorted(texts.items())
+    rows += [(10_000, "ab" * 300), (10_001, rows[0][1][:450] + "é"), (10_002, "")]
+    data = {i: x.encode() for i, x in rows}
+    starts = Counter(b[i : i + length] for b in data.values() for i in range(len(b) - length + 1))
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()
+    for r in got:
+        b = data[r.doc_id]
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - length + 1):
+            if starts[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), int(gone.sum()), runs)
+        assert r.kept_sha256 == hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()
+
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(x):
+    out = []
+    for kind, (name, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, x):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": name == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and private_data.luhn(digits), "phone": 10 <= len(digits) <= 15}[name]
+            if good:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab@..112-+%( é", max_size=50) | st.from_regex(r"(\+?[0-9]{1,16}[ .-]){0,6}", fullmatch=True))
+def test_base_spans(text):
+    assert private_data.base_spans(text) == plain_spans(text)
+
+
+def test_luhn():
+    assert private_data.luhn("4111111111111111") and not private_data.luhn("4111111111111112")
+
+
+def test_private_data(docs, texts):
+    for r in private_data.find_private_data(docs).collect():
+        base = plain_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(private_data._joined(base).encode()).hexdigest()
+        assert set(filter(None, private_data._joined(base).split(","))) <= set(r.spans.split(","))
+
+
+def test_field_carries_labels_to_similar_tokens():
+    texts = [f"call now {a} please or write mail{a % 7}@x{a % 5}.example.com today number {a * 7919 % 10**9} here" for a in range(300)]
+    field = private_data.fit_field(texts)
+    places, tokens = private_data._tokens("write mail3@x2.example.com today")
+    belief, _ = field.marginals(*field.graph([tokens]))
+    assert belief[1].argmax() == 1 and belief[0].argmax() == 0
+
+
+def test_marginals_are_exact_on_a_chain():
+    field, rng = quality.LineField(), np.random.default_rng(1)
+    field.chain = rng.normal(size=(2, 2))
+    potential, sizes = rng.normal(size=7), np.array([4, 3])
+    good, joint = field.marginals(potential, sizes)
+    at = 0
+    for n in sizes:
+        weight = {}
+        for bits in range(1 << n):
+            y = [bits >> k & 1 for k in range(n)]
+            weight[tuple(y)] = np.exp(sum(potential[at + k] * y[k] for k in range(n)) + sum(field.chain[a, b] for a, b in zip(y, y[1:])))
+        total = sum(weight.values())
+        assert np.allclose(good[at : at + n], [sum(w for y, w in weight.items() if y[k]) / total for k in range(n)])
+        at += n
+    assert np.isclose(joint.sum(), 5)
+
+
+def test_quality_and_language_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    got = quality.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in got]) > 0.9
+    got = language.query(spark, d).join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
+def test_page_text_is_the_article(spark):
+    import html
+
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in page_text.query(spark, DATA).collect()}
+    for r in rows:
+        parts = [re.sub(r"\s+", " ", html.unescape(x)).strip() for x in re.split("<[^>]*>", r.html.partition("<article>")[2].partition("</article>")[0])]
+        assert got[r.page_id] == "\n".join(filter(None, parts))
