@@ -132,7 +132,7 @@ def dead_letters(spark, d):
 
 @query("q_failures_by_step", "SELECT event_type AS step_type, count(*) AS n_steps, count(*) FILTER (event_type = 'error') AS n_failed, max(ts) AS last_at FROM events GROUP BY 1")
 def failures_by_step(spark, d):
-    return S.runs(spark, d).groupBy("step_type").agg(F.count(F.lit(1)).alias("n_steps"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.max("started_at").alias("last_at"))
+    return S.runs(spark, d).groupBy("step_type").agg(F.count(F.lit(1)).alias("n_steps"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.max("started_at").cast("timestamp_ntz").alias("last_at"))
 
 
 @query("q_latest_run", "SELECT user_id AS run_id, event_id AS step_id, event_type AS step_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -500,7 +500,7 @@ def _parts(spark, d):
     return texts, asked
 
 
-@query("q_evidence")
+@query("q_evidence", "SELECT p_partkey AS chunk_id, CAST(CASE p_size % 3 WHEN 2 THEN 0.5 ELSE 0.9 END AS DOUBLE) AS relation, CAST(CASE p_size % 3 WHEN 2 THEN 0.8 ELSE 0.96 END AS DOUBLE) AS evidence, 'yes_no' AS question_type FROM part")
 def evidence(spark, d):
     texts, asked = _parts(spark, d)
     pairs = texts.join(R.few(U.with_intent(asked)), "p_brand").withColumn("normal", T.compact("content"))
@@ -528,7 +528,7 @@ def query_type(spark, d):
     return U.with_intent(S.questions(spark, d).select("question_id", "question")).select("question_id", "intent.question_type")
 
 
-@query("q_embed_backfill")
+@query("q_embed_backfill", "SELECT doc_id AS chunk_id, CAST(64 AS INTEGER) AS dimension, CAST(NULL AS VARCHAR) AS error FROM documents WHERE trim(text) <> ''")
 def embed_backfill(spark, d):
     chunks = S.leaves(spark, d).select("chunk_id", "content").join(S.leaf_vectors(spark, d).select("chunk_id", "vector"), "chunk_id", "left")
     return M.backfill(chunks, M.HashedWords()).select("chunk_id", F.size("vector").alias("dimension"), "error")
