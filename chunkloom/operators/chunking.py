@@ -111,18 +111,19 @@ def breakpoints(similar: Column, percentile: float = 20.0) -> Column:
 
 def table_chunks(lines: Column, size: int = 500) -> Column:
     """Markdown table lines -> struct(text, row_from, row_to): header (and rule) repeated over three to twelve rows each, by their mean length."""
-    kept = F.filter(F.transform(lines, T.strip), lambda s: s != "")
-    ruled = (F.size(kept) > 1) & T.table_rule(F.get(kept, F.lit(1)))
-    head = F.when(ruled, F.slice(kept, 1, 2)).otherwise(F.slice(kept, 1, 1))
-    rows = F.when(F.size(kept) > F.size(head), F.slice(kept, F.size(head) + 1, F.size(kept))).otherwise(F.array().cast("array<string>"))
-    mean = F.greatest(F.floor(F.aggregate(rows, F.lit(0), lambda s, r: s + F.length(r)) / F.size(rows)).cast("int"), F.lit(1))
-    step = F.greatest(F.lit(3), F.least(F.lit(MOST_TABLE_ROWS), F.floor(F.lit(max(size, LEAST_TABLE)) / mean).cast("int")))
-    cut = F.transform(
-        F.sequence(F.lit(0), F.size(rows) - 1, step),
-        lambda i: F.struct(F.array_join(F.concat(head, F.slice(rows, i + 1, step)), "\n").alias("text"), (i + 1).alias("row_from"), F.least(i + step, F.size(rows)).alias("row_to")),
-    )
-    whole = F.array(F.struct(F.array_join(kept, "\n").alias("text"), F.lit(1).alias("row_from"), F.lit(1).alias("row_to")))
-    return F.when(F.size(rows) > 0, cut).otherwise(whole)
+    def parted(kept: Column) -> Column:
+        ruled = (F.size(kept) > 1) & T.table_rule(F.get(kept, F.lit(1)))
+        return T.let(F.when(ruled, 2).otherwise(1), lambda n: F.struct(kept.alias("kept"), F.slice(kept, 1, n).alias("head"), F.slice(kept, n + 1, F.greatest(F.size(kept) - n, F.lit(0))).alias("rows")))
+
+    def cut(t: Column) -> Column:
+        mean = F.greatest(F.floor(F.aggregate(t.rows, F.lit(0), lambda s, r: s + F.length(r)) / F.size(t.rows)).cast("int"), F.lit(1))
+        step = F.greatest(F.lit(3), F.least(F.lit(MOST_TABLE_ROWS), F.floor(F.lit(max(size, LEAST_TABLE)) / mean).cast("int")))
+        piece = lambda i, n: F.struct(F.array_join(F.concat(t.head, F.slice(t.rows, i + 1, n)), "\n").alias("text"), (i + 1).alias("row_from"), F.least(i + n, F.size(t.rows)).alias("row_to"))
+        parts = T.let(step, lambda n: F.transform(F.sequence(F.lit(0), F.size(t.rows) - 1, n), lambda i: piece(i, n)))
+        whole = F.array(F.struct(F.array_join(t.kept, "\n").alias("text"), F.lit(1).alias("row_from"), F.lit(1).alias("row_to")))
+        return F.when(F.size(t.rows) > 0, parts).otherwise(whole)
+
+    return T.let(T.let(F.filter(F.transform(lines, T.strip), lambda s: s != ""), parted), cut)
 
 
 def markdown_blocks(lines: DataFrame, by: str, at: str, line: str) -> DataFrame:
