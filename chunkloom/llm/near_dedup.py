@@ -2,8 +2,8 @@
 
 Documents with the same shingle set are one class, and only its representative goes on. Bands of minima put classes in
 buckets; each class meets the smallest one of each bucket; pairs whose signatures agree enough are confirmed on their full
-sets; confirmed links give components. Buckets that then still hold several components are compared across components,
-in blocks, so that no link inside a bucket is missed and no bucket is gathered in one task.
+sets; confirmed links give components. Classes whose buckets still hold several components are compared across components
+on their full sets, in blocks, so that no link inside a bucket is missed and no bucket is gathered in one task.
 
 Words are runs of anything but ASCII white space, after lower-casing A-Z. A document's set: distinct runs of `shingle`
 words; with fewer words, all of them as one. Defined results: null, empty and blank texts have the empty set and are
@@ -26,10 +26,10 @@ from chunkloom.llm.components import components
 
 BANDS, ROWS = 32, 5
 SEED = 7919
-#: Agreement of signatures below which a pair is not confirmed: five standard deviations under the threshold.
-SLACK = 0.16
-#: Classes of a bucket that are compared as one block.
-BLOCK = 1024
+#: Agreement of signatures below which a pair is not confirmed: more than four standard deviations under the threshold.
+SLACK = 0.14
+#: Classes of a cluster that are compared as one block.
+BLOCK = 256
 #: Document ids up to which the list of those to fetch is broadcast (8 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -40,7 +40,7 @@ class WordHash(dict):
     """Word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 20011)
         return h
@@ -132,8 +132,9 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     pairs = materialise(pairs, "pairs")
+    n_pairs = pairs.count()
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    small = pairs.count() <= BROADCAST_ROWS // 2
+    small = n_pairs <= BROADCAST_ROWS // 2
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
     texts = materialise(texts, "texts")
 
@@ -158,30 +159,92 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), work, "a long, b long")
 
 
-def _across(shared: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """shared(bucket, rep, component): pairs of different components in one bucket with agreeing signatures.
+def _mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, rep, component) of the buckets (first class a) that hold several components."""
+    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "a", "rep", F.coalesce("component", "rep").alias("component"))
+    labelled = materialise(labelled, "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return materialise(labelled.join(materialise(mixed, "mixed"), "bucket").select("a", "rep", "component").distinct(), "shared")
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """ids(rep) -> rep, shingles: the full set of each, as ascending 64-bit hashes."""
+    small = ids.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(ids) if small else ids, "rep")
+
+    def work():
+        hashes = WordHash()
+
+        def step(batch):
+            sets = [shingle_hashes(words_of(t), shingle, hashes).tobytes() for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+        return step
 
-    A bucket is cut into blocks; every two blocks meet in a task of their own.
+    return map_rows(texts, work, "rep long, shingles binary")
+
+
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets have 100 * intersection >= percent * union: intersections counted by products of incidence matrices, a slice of shingles at a time."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    common = np.intersect1d(*flat)
+    both = np.zeros((len(left), len(right)), np.float32)
+    kept = [np.isin(f, common) for f in flat]
+    place = [np.searchsorted(common, f[k]) for f, k in zip(flat, kept)]
+    row = [r[k] for r, k in zip(row, kept)]
+    order = [np.argsort(p, kind="stable") for p in place]
+    place, row = [p[o] for p, o in zip(place, order)], [r[o] for r, o in zip(row, order)]
+    for at in range(0, len(common), 8192):
+        sides = []
+        for p, r, x in zip(place, row, (left, right)):
+            i, j = np.searchsorted(p, [at, at + 8192])
+            m = np.zeros((len(x), 8192), np.float32)
+            m[r[i:j], p[i:j] - at] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    size = [np.array([len(s) for s in x], np.float64) for x in (left, right)]
+    return 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
+
+
+def _across(members: DataFrame, found: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between different components of one bucket that stars have not found.
+
+    Classes that buckets of several components connect form a cluster; clusters are cut into blocks, every two blocks
+    meet in a task of their own, all their pairs are counted exactly on full sets, and of the links found only those that
+    join what is not joined yet are returned.
     """
-    sizes = shared.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = shared.join(sizes, "bucket").join(reps.select("rep", "signature"), "rep")
-    own = blocks.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "signature")
+    shared = _mixed_buckets(members, found)
+    clusters = materialise(components(shared.select("a", F.col("rep").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"), "clusters")
+    own = materialise(shared.select("rep", "component").distinct().join(clusters, "rep"), "own")
+    sizes = materialise(own.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
+    sets = materialise(_full_sets(docs, own.select("rep").distinct(), shingle).dropDuplicates(["rep"]), "sets")
+    cut = own.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own, rep, component = (table.column(c).to_numpy() for c in ("own", "rep", "component"))
-        s = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+        held = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = [[], []]
-        for x in left:
-            ys = right[(component[right] != component[x]) & ((right > x) if i == j else True)]
-            ys = ys[(s[ys] == s[x]).mean(1) >= least] if len(ys) else ys
-            found[0] += np.minimum(rep[ys], rep[x]).tolist()
-            found[1] += np.maximum(rep[ys], rep[x]).tolist()
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+        hit = similar_pairs([held[x] for x in left], [held[y] for y in right], percent) & (component[left][:, None] != component[right][None, :])
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
 
-    return met.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        links = [[], []]
+        for x, y in zip(*np.nonzero(hit)):
+            one, two = root(int(component[left[x]])), root(int(component[right[y]]))
+            if one != two:
+                joined[max(one, two)] = min(one, two)
+                links[0].append(min(rep[left[x]], rep[right[y]]))
+                links[1].append(max(rep[left[x]], rep[right[y]]))
+        return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
+
+    return met.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -198,15 +261,9 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     stars = materialise(members.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
     links = materialise(_confirmed(_agreeing(stars, reps, least), docs, shingle, percent), "links")
     found = materialise(components(links), "components")
-    labelled = members.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    labelled = materialise(labelled, "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    mixed = materialise(mixed, "mixed")
-    open_pairs = _across(materialise(labelled.join(mixed, "bucket"), "open"), reps, least)
-    open_pairs = materialise(open_pairs.join(stars, ["a", "b"], "left_anti"), "across")
-    if not open_pairs.isEmpty():
-        links = links.unionByName(_confirmed(open_pairs, docs, shingle, percent))
-        found = materialise(components(links), "components")
+    more = materialise(_across(members, found, docs, shingle, percent), "across")
+    if not more.isEmpty():
+        found = materialise(components(links.unionByName(more)), "components")
     names = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     names = materialise(names, "names")
     ended = marked.select("doc_id", "n_shingles", "set_hash").join(names, "set_hash", "left")
