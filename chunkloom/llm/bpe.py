@@ -4,11 +4,47 @@ from __future__ import annotations
 
 import heapq
 import json
+import unicodedata
+from functools import lru_cache
+
+import regex
+from tokenizers import Regex, pre_tokenizers
 
 WHITE = r"\p{White_Space}"
 NEVER = 1 << 62
 
 
+class Splitter:
+    """Pre-tokens of a text by a pattern over letters {L}, numbers {N}, others {O} and white space {W}.
+
+    Characters newer than the library's own character tables are neither letters nor numbers there; a text that holds
+    one is split with a pattern that says so.
+    """
+
+    def __init__(self, template: str):
+        self.template = template
+        self.find = regex.compile(template.format(L=r"\p{L}", N=r"\p{N}", O=rf"[^{WHITE}\p{{L}}\p{{N}}]", W=WHITE)).findall
+        self.held = lru_cache(64)(self._without)
+
+    def _without(self, odd: str):
+        own = "".join(f"\\U{ord(c):08x}" for c in odd)
+        return regex.compile(self.template.format(L=rf"[\p{{L}}--[{own}]]", N=rf"[\p{{N}}--[{own}]]", O=rf"[[^{WHITE}\p{{L}}\p{{N}}]||[{own}]]", W=WHITE), regex.V1).findall
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.find(text)
+        odd = "".join(sorted(c for c in set(text) if c > "\u0557" and _odd(c)))
+        return self.held(odd)(text) if odd else self.find(text)
+
+
+@lru_cache(1 << 16)
+def _odd(c: str) -> bool:
+    """Whether `regex` takes a character for a letter or number and the library doesn't; only characters unknown to Python's tables can differ."""
+    if unicodedata.category(c) != "Cn" or not regex.match(r"[\p{L}\p{N}]", c):
+        return False
+    return bool(pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str(c))
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 bytes are themselves, the rest follow from code point 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -13,13 +13,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm.bpe import WHITE, Merger, byte_alphabet, special_tokens
+from chunkloom.llm.bpe import Merger, Splitter, byte_alphabet, special_tokens
 from chunkloom.llm.common import documents, map_rows, texts_of
 
 #: Fixed by the vocabulary's format: how byte-level vocabularies split text before merging.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"[^\s", f"[^{WHITE}").replace(r"\S", r"\P{White_Space}").replace(r"\s", WHITE)
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|{W}+(?!\P{{White_Space}})|{W}+"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def whole_tokens(spec: str) -> frozenset[str]:
@@ -70,7 +70,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
             _HELD.clear()
             _HELD[key] = Counts(whole, Merger(spec))
         counts = _HELD[key]
-        find, special = regex.compile(SPLIT).findall, special_tokens(spec)
+        find, special = Splitter(SPLIT), special_tokens(spec)
         cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
         def tokens(text: str) -> int:

@@ -23,14 +23,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.bpe import WHITE, Merger, special_tokens
+from chunkloom.llm.bpe import Merger, Splitter, special_tokens
 from chunkloom.llm.common import documents, map_rows, materialise, sha_hex, share_bytes, texts_of
 
 #: Fixed by the vocabulary's format: the pre-tokens of word-end vocabularies; what lies between them is dropped.
-SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|{O}+"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 LEXICON_WORDS = 1 << 17
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Words:
@@ -38,7 +38,7 @@ class Words:
 
     def __init__(self, spec: str):
         self.special = special_tokens(spec)
-        self.find = regex.compile(SPLIT).findall
+        self.find = Splitter(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def of(self, text: str) -> list[str]:
