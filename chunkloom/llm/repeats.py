@@ -106,12 +106,12 @@ _SPOT = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("k", pa.i
 def _spots(parts: list[tuple]) -> pa.Array:
     """Lists of (start, n, k, nec, suf), one list for each text."""
     edges = np.cumsum([0, *(len(p[0]) for p in parts)]).astype(np.int32)
-    columns = [np.concatenate([np.asarray(p[i]) for p in parts]) if parts else np.zeros(0) for i in range(5)]
-    arrays = [pa.array(c.astype(np.int32)) for c in columns[:3]] + [pa.array(c.astype(U).view(np.int64)) for c in columns[3:]]
+    columns = [np.concatenate([p[i] for p in [_EMPTY, *parts]]) for i in range(5)]
+    arrays = [pa.array(c.astype(np.int32)) for c in columns[:3]] + [pa.array(c.view(np.int64)) for c in columns[3:]]
     return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(arrays, ["start", "n", "k", "nec", "suf"]))
 
 
-_EMPTY = tuple(np.zeros(0, np.int64) for _ in range(5))
+_EMPTY = tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, U, U))  # of the kinds of the others: numpy joins signed and unsigned as floats
 
 
 def _sampled(data: np.ndarray, length: int) -> tuple:
