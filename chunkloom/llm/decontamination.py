@@ -5,7 +5,9 @@ the largest impact in each block of pieces. A training text is read as passages
 so every piece that a text contains lies whole in some passage. A passage is a query: blocks whose summed block maxima
 stay under their lowest threshold are passed over, in the others exact scores are taken, and every piece that reaches
 SHARE of its own full score is retrieved. An item retrieved for a text is verified on runs of five words: at least 0.8 of
-the item's, or of both its question and its answer, must occur in the text.
+the item's, or of both its question and its answer, must occur in the text. Runs may lie anywhere in the text, so the
+passages alone don't find every such item: hashes of the runs of each item and of the longer of its two parts are looked
+up in the whole text, and what holds 0.8 of either is retrieved as well. bm25 is then the item's best score in a passage.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. An item's question is its first line, or else
 its first sentence; the rest is the answer. Defined results: null and empty texts and items match nothing; an item of
@@ -42,6 +44,21 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
+def run_hashes(terms: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the n term numbers from each place."""
+    h = np.full(len(at), n, np.uint64)
+    for j in range(n):
+        h = (h ^ (terms[at + j].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def spread(starts: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of the keys in a list that starts at starts[key], and how many each key has."""
+    n = starts[key + 1] - starts[key]
+    return np.repeat(starts[key] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+
 def shingles(words: list[bytes]) -> set:
     k = min(SHINGLE, len(words))
     return set(zip(*(words[j:] for j in range(k)))) if k else set()
@@ -93,13 +110,71 @@ class Index:
         for t, p, x in zip(np.repeat(np.arange(len(postings)), df).tolist(), self.piece.tolist(), self.impact.tolist()):
             self.own_terms[p, filled[p]], self.own_impacts[p, filled[p]] = t, x
             filled[p] += 1
+        self._index_runs()
         edge = np.minimum(np.arange(self.blocks + 1) * self.size, len(pieces))
         self.least = np.array([self.threshold[a:b].min() if b > a else np.inf for a, b in zip(edge, edge[1:])])
 
-    def retrieve(self, texts_words: list[list[bytes]]) -> dict[tuple[int, int], float]:
+    def _index_runs(self) -> None:
+        """Hashed runs of the lists that an item must hold: its own, and those of the longer of question and answer."""
+        self.list_owner, self.needed, lengths, keys = [], [], set(), []
+        for k, (whole, question, answer, short) in enumerate(self.parts):
+            longer = max(question, answer, key=lambda runs: (len(next(iter(runs), ())), len(runs)))
+            for runs in [whole, longer] if question and answer else [whole]:
+                n = len(next(iter(runs), ()))
+                if short is not None or n < SHINGLE:
+                    continue
+                terms = np.array([[self.terms[w] for w in run] for run in runs], np.int64).ravel()
+                own = np.unique(run_hashes(terms, np.arange(0, len(terms), n), n))
+                keys.append(own)
+                lengths.add(n)
+                self.list_owner.append(k)
+                self.needed.append(OVERLAP * len(runs) - (len(runs) - len(own)) - 1e-9)
+        self.run_lengths = sorted(lengths)
+        self.list_owner, self.needed = np.array(self.list_owner, np.int64), np.array(self.needed)
+        every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        self.run_keys, place = np.unique(every, return_inverse=True)
+        self.run_lists = np.repeat(np.arange(len(keys)), [len(x) for x in keys])[np.argsort(place, kind="stable")]
+        self.run_at = np.r_[0, np.cumsum(np.bincount(place, minlength=len(self.run_keys)))].astype(np.int64)
+        self.shift = np.uint64(64 - max(16, (16 * len(self.run_keys)).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[self.run_keys >> self.shift] = True
+
+    def numbered(self, texts_words: list[list[bytes]]) -> list[np.ndarray]:
+        """Term numbers of the words; -1 for words of no item."""
+        return [np.fromiter(map(self.terms.get, ws, repeat(-1)), np.int64, len(ws)) for ws in texts_words]
+
+    def look_up(self, flat: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(text number, item number) wherever a text holds OVERLAP of the runs of an item or of the longer of its parts."""
+        if not flat or not len(self.run_keys):
+            return set()
+        terms = np.concatenate([x for f in flat for x in (f, [-1])])
+        text = np.repeat(np.arange(len(flat)), [len(f) + 1 for f in flat])
+        gaps = np.r_[0, np.cumsum(terms < 0)]
+        held = []
+        for n in self.run_lengths:
+            at = np.flatnonzero(gaps[n:] == gaps[:-n])
+            h = run_hashes(terms, at, n)
+            some = self.seen[h >> self.shift]
+            at, h = at[some], h[some]
+            key = np.minimum(np.searchsorted(self.run_keys, h), len(self.run_keys) - 1)
+            same = self.run_keys[key] == h
+            held.append(text[at[same]] * len(self.run_keys) + key[same])
+        held = np.unique(np.concatenate(held))
+        spot, n = spread(self.run_at, held % len(self.run_keys))
+        pairs, hits = np.unique(np.repeat(held // len(self.run_keys), n) * len(self.needed) + self.run_lists[spot], return_counts=True)
+        row, own = pairs // len(self.needed), pairs % len(self.needed)
+        enough = hits >= self.needed[own]
+        return set(zip(row[enough].tolist(), self.list_owner[own[enough]].tolist()))
+
+    def best_score(self, terms: np.ndarray, item: int) -> float:
+        """The best score of the item's pieces in a passage of the text."""
+        pieces = np.flatnonzero(self.owner == item)
+        passages = [terms[j : j + 2 * PIECE] for j in range(0, len(terms), PIECE)]
+        known = self.own_terms[pieces] >= 0
+        return max((float(np.where(known & np.isin(self.own_terms[pieces], p), self.own_impacts[pieces], 0).sum(1).max()) for p in passages), default=0.0)
+
+    def retrieve(self, flat: list[np.ndarray]) -> dict[tuple[int, int], float]:
         """(text number, item number) -> best share of a piece's full score, for all pieces above their threshold."""
-        get = self.terms.get
-        flat = [np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws)) for ws in texts_words]
         sizes = [-(-len(f) // PIECE) for f in flat]
         first = np.cumsum([0, *(s + 1 for s in sizes)])  # a run number left free after each text keeps passages apart
         runs = np.concatenate([np.arange(len(f)) // PIECE + s for f, s in zip(flat, first)]) if flat else np.zeros(0, np.int64)
@@ -131,8 +206,7 @@ class Index:
         weak = so_far < limit[row] - 1e-6
         rest = np.bincount(row[weak], self.peak[terms[weak]], len(kept))
         row, terms = row[~weak], terms[~weak]
-        n = self.at[terms + 1] - self.at[terms]
-        spot = np.repeat(self.at[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        spot, n = spread(self.at, terms)
         row, piece, impact = np.repeat(row, n), self.piece[spot], self.impact[spot]
         use = live[row, piece // self.size]
         keys, place = np.unique(row[use] * len(self.owner) + piece[use], return_inverse=True)
@@ -154,7 +228,10 @@ class Index:
         words = [words_of(t) for t in texts]
         out = []
         held: tuple[int, set] = (-1, set())
-        for (k, item), score in sorted(self.retrieve(words).items()):
+        flat = self.numbered(words)
+        scores = self.retrieve(flat)
+        for k, item in sorted(scores.keys() | self.look_up(flat)):
+            score = scores.get((k, item))
             whole, question, answer, short = self.parts[item]
             if short is not None:
                 if tuple(words[k]) == short:
@@ -165,7 +242,7 @@ class Index:
             share = [len(part & held[1]) / len(part) if part else None for part in (whole, question, answer)]
             q, a = share[1] if share[1] is not None else share[0], share[2] if share[2] is not None else share[0]
             if share[0] >= OVERLAP or min(q, a) >= OVERLAP:
-                out.append((k, self.items[item], score, share[0], q, a))
+                out.append((k, self.items[item], self.best_score(flat[k], item) if score is None else score, share[0], q, a))
         return out
 
 
