@@ -11,7 +11,8 @@ up in the whole text, and what holds 0.8 of either is retrieved as well. bm25 is
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. An item's question is its first line, or else
 its first sentence; the rest is the answer. Defined results: null and empty texts and items match nothing; an item of
-fewer than five words matches only texts that consist of it; repeated rows give repeated results; null doc_id is carried
+fewer than five words matches texts that hold its words in a row, and a question or answer of fewer than five words counts
+as held where its words stand in a row; repeated rows give repeated results; null doc_id is carried
 along; an empty table on either side gives no hits; other columns are ignored by the search and kept by the cleaning.
 """
 
@@ -59,11 +60,14 @@ def spread(starts: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(starts[key] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
-def shingles(words: list[bytes]) -> set:
-    k = min(SHINGLE, len(words))
+def runs_of(words: list[bytes], k: int) -> set:
     return set(zip(*(words[j:] for j in range(k)))) if k else set()
 
 
+def shingles(words: list[bytes]) -> set:
+    return runs_of(words, min(SHINGLE, len(words)))
+
+
 class Index:
     """Inverted index over the pieces of a set of items."""
 
@@ -121,7 +125,7 @@ class Index:
             longer = max(question, answer, key=lambda runs: (len(next(iter(runs), ())), len(runs)))
             for runs in [whole, longer] if question and answer else [whole]:
                 n = len(next(iter(runs), ()))
-                if short is not None or n < SHINGLE:
+                if not n or short is not None and runs is not whole:
                     continue
                 terms = np.array([[self.terms[w] for w in run] for run in runs], np.int64).ravel()
                 own = np.unique(run_hashes(terms, np.arange(0, len(terms), n), n))
@@ -227,19 +231,22 @@ class Index:
         """(text number, item_id, bm25, overlap, question overlap, answer overlap) of all verified pairs."""
         words = [words_of(t) for t in texts]
         out = []
-        held: tuple[int, set] = (-1, set())
+        held: tuple[int, dict[int, set]] = (-1, {})
         flat = self.numbered(words)
         scores = self.retrieve(flat)
         for k, item in sorted(scores.keys() | self.look_up(flat)):
             score = scores.get((k, item))
             whole, question, answer, short = self.parts[item]
-            if short is not None:
-                if tuple(words[k]) == short:
-                    out.append((k, self.items[item], score, 1.0, 1.0, 1.0))
-                continue
             if held[0] != k:
-                held = (k, shingles(words[k]))
-            share = [len(part & held[1]) / len(part) if part else None for part in (whole, question, answer)]
+                held = (k, {})
+            share = []
+            for part in (whole, question, answer):
+                n = len(next(iter(part), ()))
+                if n not in held[1]:
+                    held[1][n] = runs_of(words[k], n)
+                share.append(len(part & held[1][n]) / len(part) if part else None)
+            if short is not None:
+                share[1:] = share[0], share[0]
             q, a = share[1] if share[1] is not None else share[0], share[2] if share[2] is not None else share[0]
             if share[0] >= OVERLAP or min(q, a) >= OVERLAP:
                 out.append((k, self.items[item], self.best_score(flat[k], item) if score is None else score, share[0], q, a))

@@ -63,3 +63,29 @@ def test_runs_scattered_over_the_text(spark):
         text = " ".join(" ".join(r) + " " + " ".join(f"w{rng.random()}" for _ in range(100)) for r in runs[: -(-len(runs) * 9 // 10)])
         assert i in leaks(items, text)
         assert {g[1] for g in decontamination.Index(items).matches([text])} == leaks(items, text)
+
+
+def test_short_question_or_answer():
+    items = [
+        (1, "Which river runs through the old town of Prague today?\nThe Vltava"), (2, "Define entropy.\nA measure of how much disorder a closed system holds at one time"),
+        (3, "Who wrote it?\nJane Austen did"), (4, "blue whale song"), (5, "Is it so? Yes."),
+    ]
+    texts = [
+        "Question: which river runs through the old town of Prague today? Answer: the Vltava.", "which river runs through the old town of Prague today? Answer: the Elbe, not Vltava the",
+        "Entropy. To define entropy. Answer: a measure of how much disorder a closed system holds at one time", "who wrote it? Answer: Jane Austen did", "who wrote it? Jane did, Austen did",
+        "we heard the blue whale song at night", "blue song whale", "it is so, yes", "is it so yes", "blue whale song", "", "blue whale songs",
+    ]
+    got = decontamination.Index(items).matches(texts)
+    assert [{g[1] for g in got if g[0] == k} for k in range(len(texts))] == [leaks(items, x) for x in texts]
+    assert [leaks(items, x) for x in texts] == [{1}, set(), {2}, {3}, set(), {4}, set(), set(), {5}, {4}, set(), set()]
+    assert all(g[2] > 0 for g in got)
+
+
+def test_short_parts_of_the_benchmark(spark):
+    """Given items with a short question or answer, its parts with other words between them, beside the given texts."""
+    items = benchmark(spark)
+    own = [x for _, x in items if 0 < min(map(len, parts(x))) < 5]
+    texts = [f"on {' '.join(parts(x)[0])} answer {' '.join(f'so{j}' for j in range(120))} {' '.join(parts(x)[1])}" for x in own]
+    texts += [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
+    got = decontamination.Index(items).matches(texts)
+    assert own and [{g[1] for g in got if g[0] == k} for k in range(len(texts))] == [leaks(items, x) for x in texts]
