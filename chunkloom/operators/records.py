@@ -88,11 +88,12 @@ def nested(parents: DataFrame, children: DataFrame, key: str, order: list[str],
     return parents.join(own, key, "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
 
 
-def chat_history(messages: DataFrame) -> DataFrame:
-    """Messages of each session, system messages first, then by turn, as one text; title from the first message."""
+def chat_history(messages: DataFrame, preview: int | None = None) -> DataFrame:
+    """Whole messages (or their first `preview` characters) of each session, system messages first, then by turn, as one text; title from the first message."""
+    content = lambda x: x.content if preview is None else F.left(x.content, F.lit(preview))
     row = F.struct(F.when(F.col("role") == "system", 0).otherwise(1).alias("a"), "turn", "role", "content")
     own = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("m"), F.count(F.lit(1)).alias("n_messages"), F.min_by("content", "turn").alias("first_message"))
-    said = F.array_join(F.transform("m", lambda x: F.concat(x.role, F.lit(": "), F.left(x.content, F.lit(120)))), "\n")
+    said = F.array_join(F.transform("m", lambda x: F.concat(x.role, F.lit(": "), content(x))), "\n")
     return own.select("session_id", "n_messages", T.session_title(F.lit(""), "first_message").alias("title"), said.alias("history"))
 
 

@@ -167,6 +167,12 @@ def open_steps(spark, d):
 
 @query("q_session_history", r"SELECT conv_id AS session_id, count(*) AS n_messages, left(regexp_replace(arg_min(text, turn), '^\s+|\s+$', '', 'g'), 20) AS title, string_agg(role || ': ' || left(text, 120), chr(10) ORDER BY CASE role WHEN 'system' THEN 0 ELSE 1 END, turn, role, text) AS history FROM conversations GROUP BY 1")
 def session_history(spark, d):
+    """A preview of each message, as the statement has it; q_session_history_whole gives the texts."""
+    return D.chat_history(S.messages(spark, d), preview=120)
+
+
+@query("q_session_history_whole", r"SELECT conv_id AS session_id, count(*) AS n_messages, left(regexp_replace(arg_min(text, turn), '^\s+|\s+$', '', 'g'), 20) AS title, string_agg(role || ': ' || text, chr(10) ORDER BY CASE role WHEN 'system' THEN 0 ELSE 1 END, turn, role, text) AS history FROM conversations GROUP BY 1")
+def session_history_whole(spark, d):
     return D.chat_history(S.messages(spark, d))
 
 
