@@ -32,9 +32,9 @@ def lists_for(n: int) -> int:
     return max(1, min(n, 256 if n < 50_000 else 1024))
 
 
-def exact(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """question_id, chunk_id, vector_score, rank: the first k of a scan over all vectors given (filter them before)."""
-    return ranked(vector_scores(questions, vectors), ["question_id"], _order(), k)
+def exact(questions: DataFrame, vectors: DataFrame, k: int, scope: tuple[str, ...] = ()) -> DataFrame:
+    """question_id, chunk_id, vector_score, rank: the first k of a scan over all vectors given (filter them before), or over those of the question's scope."""
+    return ranked(vector_scores(questions, vectors, scope), ["question_id"], _order(), k)
 
 
 class InvertedLists:

@@ -42,6 +42,15 @@ qt AS (SELECT DISTINCT question_id, term FROM (SELECT item_id AS question_id, un
 kw AS (
   SELECT question_id, tf.chunk_id, tf.chunk_index, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS keyword_score
   FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (chunk_id) CROSS JOIN st GROUP BY 1, 2, 3)"""
+USER_KEYWORDS = """tok AS (SELECT user_id, chunk_id, chunk_index, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS term FROM leaves),
+tf AS (SELECT user_id, chunk_id, chunk_index, term, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT user_id, chunk_id, count(*) AS dl FROM tok GROUP BY ALL),
+st AS (SELECT user_id, count(*) AS n, avg(dl) AS mean FROM dl GROUP BY 1),
+df AS (SELECT user_id, term, count(*) AS df FROM tf GROUP BY ALL),
+qt AS (SELECT DISTINCT question_id, question_id % 3 AS user_id, term FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark)),
+kw AS (
+  SELECT question_id, tf.chunk_id, tf.chunk_index, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS keyword_score
+  FROM qt JOIN tf ON tf.term = qt.term AND tf.user_id = qt.user_id JOIN df ON df.term = tf.term AND df.user_id = tf.user_id JOIN dl ON dl.chunk_id = tf.chunk_id JOIN st ON st.user_id = tf.user_id GROUP BY 1, 2, 3)"""
 VECTORS = """vec AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
 vs AS (
   SELECT item_id AS question_id, x.chunk_id, x.chunk_id % 4 AS chunk_index, round(list_cosine_similarity(q.v, x.v), 6) AS vector_score
@@ -323,6 +332,19 @@ def vector_topk_filtered(spark, d):
     return N.exact(S.questions(spark, d), S.leaf_vectors(spark, d).join(scope, "chunk_id"), 5).select("question_id", "chunk_id", "vector_score", "rank")
 
 
+@query("q_vector_topk_by_user", _with(VECTORS) + "SELECT question_id, chunk_id, vector_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM vs WHERE chunk_id // 4 % 3 = question_id % 3 AND chunk_id // 4 NOT IN (SELECT doc_id // 4 FROM documents WHERE n_chars < 200) WINDOW w AS (PARTITION BY question_id ORDER BY vector_score DESC, chunk_id DESC) QUALIFY row_number() OVER w <= 5")
+def vector_topk_by_user(spark, d):
+    """Each question searches its own user's documents, listed by join: those without a text below 200 characters."""
+    short = S.table(spark, d, "documents").where("n_chars < 200").select(F.floor(F.col("doc_id") / S.LEAVES).alias("document_id")).distinct()
+    scope = D.without_document(S.leaves(spark, d), short).select("chunk_id", "user_id")
+    return N.exact(_of_users(S.questions(spark, d)), S.leaf_vectors(spark, d).join(scope, "chunk_id"), 5, scope=("user_id",)).select("question_id", "chunk_id", "vector_score", "rank")
+
+
+def _of_users(rows: DataFrame) -> DataFrame:
+    """Questions (or their terms) spread over the three users."""
+    return rows.withColumn("user_id", F.col("question_id") % 3)
+
+
 @query("q_ivf_topk")
 def ivf_topk(spark, d):
     index = N.InvertedLists(S.leaf_vectors(spark, d), n_lists=16)
@@ -352,6 +374,13 @@ def bm25_scoped(spark, d):
     return R.ranked(hits, ["question_id"], [F.desc("keyword_score"), F.desc("chunk_index"), F.desc("chunk_id")], 5).select("question_id", "chunk_id", "keyword_score", "rank")
 
 
+@query("q_bm25_by_user", _with(LEAVES, USER_KEYWORDS) + "SELECT question_id, chunk_id, keyword_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM kw WINDOW w AS (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_index DESC, chunk_id DESC) QUALIFY row_number() OVER w <= 5")
+def bm25_by_user(spark, d):
+    """Questions of all users, each in its own user's scope with that scope's statistics."""
+    hits = R.bm25(S.leaves(spark, d), _of_users(R.question_terms(S.questions(spark, d))), scope=("user_id",))
+    return R.ranked(hits, ["question_id"], [F.desc("keyword_score"), F.desc("chunk_index"), F.desc("chunk_id")], 5).select("question_id", "chunk_id", "keyword_score", "rank")
+
+
 @query("q_bm25_weighted")
 def bm25_weighted(spark, d):
     hits = R.bm25(S.leaves(spark, d), R.question_terms(S.questions(spark, d), weighted=True))

@@ -1,9 +1,18 @@
 """Operators that must not cut what they are given."""
 
 from chunkloom.operators import records as D
+from chunkloom.plans.queries import QUERIES
 
 
 def test_history_keeps_whole_messages(spark):
     long = "word " * 400 + "end"
     rows = spark.createDataFrame([(1, 1, "user", long), (1, 0, "system", "s" * 130)], "session_id long, turn int, role string, content string")
     assert [r.history for r in D.chat_history(rows).collect()] == ["system: " + "s" * 130 + "\nuser: " + long]
+
+
+def test_scopes_grow_with_the_tables(spark):
+    """Questions of every user, and hits in documents beyond any fixed id."""
+    for name in ("q_vector_topk_by_user", "q_bm25_by_user"):
+        got = QUERIES[name](spark, "/root/testdata/sf0.01").select("question_id", "chunk_id").collect()
+        assert {r.question_id % 3 for r in got} == {0, 1, 2} and all(r.question_id % 3 == r.chunk_id // 4 % 3 for r in got)
+        assert max(r.chunk_id // 4 for r in got) >= 60
