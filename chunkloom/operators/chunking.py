@@ -141,24 +141,40 @@ def markdown_blocks(lines: DataFrame, by: str, at: str, line: str) -> DataFrame:
     return numbered.groupBy(by, "block", "kind").agg(T.strip(text).alias("text")).where("text <> ''")
 
 
-def hierarchy(segments: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
+_PIECES = "array<struct<text:string,row_from:int,row_to:int>>"
+
+
+def text_pieces(segments: DataFrame, size: int, overlap: int, use_semantic: bool) -> Column:
+    """Heuristic chunks; or semantic ones, where `similar` (of each sentence and the next) is given and fits more than one sentence."""
+    plain = heuristic_chunks("text", size, overlap)
+    if not use_semantic or "similar" not in segments.columns:
+        return plain
+    fits = lambda own: (F.size(own) > 1) & (F.size("similar") == F.size(own) - 1)
+    return T.let(T.sentences(F.col("text")), lambda own: F.when(F.col("similar").isNotNull() & fits(own), semantic_chunks(own, breakpoints(F.col("similar")), size, overlap)).otherwise(plain))
+
+
+def hierarchy(segments: DataFrame, size: int = 500, overlap: int = 80, use_semantic: bool = False) -> DataFrame:
     """segments(document_id, segment, title, text) -> parent rows and their leaves with one running chunk_index a document.
 
+    Segments whose kind (a column that may be absent) is table are cut by rows, with their header repeated; others by text_pieces.
     A leaf's offsets are found in its segment, or follow the leaf before where its text was put together anew.
     """
-    cut = segments.withColumn("pieces", heuristic_chunks("text", size, overlap))
-    zero = F.array().cast("array<struct<child:int,text:string,start:int,stop:int>>")
+    none = F.lit(None).cast("int")
+    prose = F.transform(text_pieces(segments, size, overlap, use_semantic), lambda s: F.struct(s.alias("text"), none.alias("row_from"), none.alias("row_to"))).cast(_PIECES)
+    kind = F.col("kind") if "kind" in segments.columns else F.lit("text")
+    cut = segments.withColumn("kind", kind).withColumn("pieces", F.when(F.col("kind") == "table", table_chunks(F.split("text", "\n"), size).cast(_PIECES)).otherwise(prose))
+    zero = F.array().cast("array<struct<child:int,text:string,start:int,stop:int,row_from:int,row_to:int>>")
 
     def place(done: Column, p: Column) -> Column:
         cursor = F.when(F.size(done) == 0, 0).otherwise(F.element_at(done, F.when(F.size(done) == 0, 1).otherwise(-1)).stop)
         found = F.call_function("locate", p.text, F.col("text"), cursor + 1)
         start = F.when(found > 0, found - 1).otherwise(cursor)
-        return F.array_append(done, F.struct(p.child.alias("child"), p.text.alias("text"), start.alias("start"), F.least(start + F.length(p.text), F.length(F.col("text"))).alias("stop")))
+        return F.array_append(done, F.struct(p.child.alias("child"), p.text.alias("text"), start.alias("start"), F.least(start + F.length(p.text), F.length(F.col("text"))).alias("stop"), p.row_from.alias("row_from"), p.row_to.alias("row_to")))
 
-    rows = F.transform("pieces", lambda s, i: F.struct(i.alias("child"), s.alias("text")))
+    rows = F.transform("pieces", lambda s, i: F.struct(i.alias("child"), s.text.alias("text"), s.row_from.alias("row_from"), s.row_to.alias("row_to")))
     leaves = F.aggregate(rows, zero, place)
-    parent = F.array(F.struct(F.lit(-1).alias("child"), F.col("text").alias("text"), F.lit(0).alias("start"), F.length("text").alias("stop")))
-    flat = cut.select("document_id", "segment", "title", F.explode(F.concat(parent, leaves)).alias("c")).select("document_id", "segment", "title", "c.*")
+    parent = F.array(F.struct(F.lit(-1).alias("child"), F.col("text").alias("text"), F.lit(0).alias("start"), F.length("text").alias("stop"), none.alias("row_from"), none.alias("row_to")))
+    flat = cut.select("document_id", "segment", "title", "kind", F.explode(F.concat(parent, leaves)).alias("c")).select("document_id", "segment", "title", "kind", "c.*")
     indexed = flat.withColumn("chunk_index", F.row_number().over(Window.partitionBy("document_id").orderBy("segment", "child")) - 1)
     role = F.when(F.col("child") < 0, "parent").otherwise("leaf")
-    return indexed.select("document_id", "chunk_index", role.alias("chunk_role"), "segment", F.col("child").alias("child_index"), "title", F.col("text").alias("content"), F.col("start").alias("start_offset"), F.col("stop").alias("end_offset"), T.retrieval_text("title", F.lit("text"), "text").alias("retrieval_content"))
+    return indexed.select("document_id", "chunk_index", role.alias("chunk_role"), "segment", F.col("child").alias("child_index"), "title", F.col("text").alias("content"), F.col("start").alias("start_offset"), F.col("stop").alias("end_offset"), T.retrieval_text("title", "kind", "text").alias("retrieval_content"), F.col("kind").alias("block_type"), F.col("row_from").alias("table_row_from"), F.col("row_to").alias("table_row_to"))

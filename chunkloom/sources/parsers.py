@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import text as T
+from chunkloom.operators import chunking as C
 
 #: The file types that are read.
 ALLOWED = ("txt", "md", "pdf", "docx", "xlsx", "xls", "pptx")
@@ -121,10 +122,16 @@ def parse_rows(files: DataFrame) -> DataFrame:
 
 
 def segments(parsed: DataFrame, key: str) -> DataFrame:
-    """key, segment, title, kind, text: pages, sheets or sections of a parsed document, else its whole text as 正文."""
+    """key, segment, title, kind, text: pages, sheets or sections of a parsed document, else its whole text as 正文; Markdown sections in blocks of text and tables."""
     pages = F.transform("pages", lambda p: F.struct(p.section.alias("title"), F.lit("text").alias("kind"), p.text.alias("text")))
     kind = F.when(F.col("file_type").isin("xlsx", "xls"), "table").otherwise("text")
     sections = F.transform("sections", lambda s: F.struct(s.section.alias("title"), kind.alias("kind"), s.text.alias("text")))
     whole = F.array(F.struct(F.lit("正文").alias("title"), F.lit("text").alias("kind"), F.col("full_text").alias("text")))
     chosen = F.when(F.size("pages") > 0, pages).when(F.size("sections") > 0, sections).otherwise(whole)
-    return parsed.where("error is null").select(key, F.posexplode(chosen).alias("segment", "s")).select(key, "segment", "s.*").where("trim(text) <> ''")
+    in_blocks = F.coalesce((F.col("file_type") == "md") & (F.coalesce(F.size("pages"), F.lit(0)) == 0) & (F.size("sections") > 0), F.lit(False))
+    rows = parsed.where("error is null").select(key, in_blocks.alias("in_blocks"), F.posexplode(chosen).alias("segment", "s")).select(key, "in_blocks", "segment", "s.*").where("trim(text) <> ''")
+    lines = rows.where("in_blocks").select(F.struct(F.col(key).alias("key"), "segment", "title").alias("section"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    blocks = C.markdown_blocks(lines, "section", "at", "line")
+    place = F.row_number().over(Window.partitionBy("section.key").orderBy("section.segment", "block")) - 1
+    cut = blocks.select(F.col("section.key").alias(key), place.alias("segment"), "section.title", "kind", "text")
+    return rows.where("not in_blocks").drop("in_blocks").unionByName(cut)
