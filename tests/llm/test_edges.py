@@ -84,3 +84,24 @@ def test_pages_without_article(spark):
     rows = [(i, f"http://h.x/{i}", f"<p>Own words of page {i} told here only by page {i * 7}</p><p>{note}</p>") for i in range(4)]
     got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(note not in r.text and f"page {r.page_id} told" in r.text for r in got)
+
+
+def test_pages_of_no_rows_or_odd_columns(spark):
+    schema = "page_id long, url string, html string, host string, stream int, open int, row int, mirror string, text string, n_chars string"
+    rows = [(1, None, "<p>one two</p>", "h", 1, 2, 3, "m", "t", "n"), (1, None, None, "h", 1, 2, 3, "m", "t", "n"), (None, "u", "<article>x</article>", None, None, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, schema)
+    assert page_text.extract(pages.where("1 = 0")).collect() == []
+    got = page_text.extract(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted((str(r.page_id), r.text) for r in got.collect()) == [("1", ""), ("1", "one two"), ("None", "x")]
+
+
+def test_class_words_alone_drop_nothing():
+    page = '<article><h1>T</h1><p class="related-work">A</p><p class="comment">B</p><div class="social"><p>C</p></div><div class="comments"><p>D</p></div><section id="ad-box">E</section></article><div class="ad">F</div>'
+    assert page_text.blocks(page) == [("main", "T"), ("main", "A"), ("doubtful", "B"), ("doubtful", "C"), ("dropped", "D"), ("dropped", "E"), ("dropped", "F")]
+
+
+def test_mirrored_pages_keep_their_text(spark):
+    body = "<p>The very same long text stands on two pages of this one host word for word</p>"
+    rows = [(1, "http://h.x/a", body), (2, "http://h.x/b", body), (3, "http://h.x/c", "<p>something else</p>")]
+    got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.n_chars for r in got) == [14, 74, 74]

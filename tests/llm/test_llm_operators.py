@@ -332,3 +332,51 @@ def test_page_text_is_the_article(spark):
     for r in rows:
         parts = [re.sub(r"\s+", " ", html.unescape(x)).strip() for x in re.split("<[^>]*>", r.html.partition("<article>")[2].partition("</article>")[0])]
         assert got[r.page_id] == "\n".join(filter(None, parts))
+
+
+def brute_pages(rows):
+    """Text of pages without an article: blocks of which runs of WINDOW words that stand on two unlike pages of the host cover less than half."""
+    w = page_text.WINDOW
+    parsed = {i: (page_text._host(url), [t for _, t in page_text.blocks(page)]) for i, url, page in rows}
+    held = {}
+    for host, own in parsed.values():
+        words = " ".join(own).split()
+        for at in range(len(words) - w + 1):
+            held.setdefault((host, tuple(words[at : at + w])), set()).add("\n".join(own))
+    out = {}
+    for i, (host, own) in parsed.items():
+        words = " ".join(own).split()
+        covered = [False] * len(words)
+        for at in range(len(words) - w + 1):
+            if len(held[host, tuple(words[at : at + w])]) > 1:
+                covered[at : at + w] = [True] * w
+        kept, at = [], 0
+        for block in own:
+            n = len(block.split())
+            if 2 * sum(covered[at : at + n]) < n:
+                kept.append(block)
+            at += n
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_repeats_of_hosts_against_brute_force(spark):
+    """The given pages with every element but p made a plain div: nothing but repeats decides."""
+    rows = [(r.page_id, r.url, re.sub(r"<(/?)(?:article|nav|footer|ul|li|h1|div)[^>]*>", r"<\1div>", r.html)) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rows += [(10_000 + i, "http://one.example.org/x", f"<div>{'again and ' * (i + 3)}</div><div>page {i} speaks of nothing that others say so far at all</div>") for i in range(5)]
+    want = brute_pages(rows)
+    for parts in (page_text.PART_PAGES, 1):
+        page_text.PART_PAGES, before = parts, page_text.PART_PAGES
+        got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        page_text.PART_PAGES = before
+        assert {r.page_id: r.text for r in got} == want
+    assert any(len(want[i]) < 0.99 * len("\n".join(t for _, t in page_text.blocks(page))) for i, _, page in rows)
+
+
+def test_suffix_array():
+    tokens = np.array([3, 1, 2, 1, 2, 1, 3, 1, 2, 9])
+    order, common = page_text.suffix_array(tokens, 8)
+    want = sorted(range(10), key=lambda i: tokens[i : i + 8].tolist())
+    assert order.tolist() == want
+    lcp = [0] + [next((k for k in range(8) if a + k >= 10 or b + k >= 10 or tokens[a + k] != tokens[b + k]), 8) for a, b in zip(want, want[1:])]
+    assert common.tolist() == lcp
