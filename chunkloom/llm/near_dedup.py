@@ -3,11 +3,14 @@
 Documents with the same shingle set are one class, and only its representative goes on. Bands of minima put classes in
 buckets; each class meets the smallest one of each bucket; pairs whose signatures agree enough are confirmed on their full
 sets; confirmed links give components. Classes whose buckets still hold several components are compared across components
-on their full sets, in blocks, so that no link inside a bucket is missed and no bucket is gathered in one task.
+on their full sets, so that no link inside a bucket is missed: in blocks of one size stratum and, where it fills a block, of one
+component. Blocks of one component are never compared with each other, nor strata whose sizes are too far apart for a link, and
+no bucket or cluster is gathered in one task.
 
 Words are runs of anything but ASCII white space, after lower-casing A-Z. A document's set: distinct runs of `shingle`
 words; with fewer words, all of them as one. Defined results: null, empty and blank texts have the empty set and are
-linked with nothing; rows with the same doc_id are one document; null doc_id has component null (a copy of a document
+linked with nothing; rows with the same doc_id are one document (of unlike texts under one doc_id the largest is compared, whatever
+the order of rows); very long texts are read whole, their minima in slices; null doc_id has component null (a copy of a document
 with an id takes that one's) and is kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,6 +33,8 @@ SEED = 7919
 SLACK = 0.14
 #: Classes of a cluster that are compared as one block.
 BLOCK = 256
+#: Block group of the components that don't fill a block.
+_POOL = -(1 << 63)
 #: Document ids up to which the list of those to fetch is broadcast (8 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -170,7 +175,7 @@ def _mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
 def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """ids(rep) -> rep, shingles: the full set of each, as ascending 64-bit hashes."""
     small = ids.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(ids) if small else ids, "rep")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(ids) if small else ids, "rep").groupBy("rep").agg(F.max("text").alias("text"))
 
     def work():
         hashes = WordHash()
@@ -207,26 +212,47 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int)
     return 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
 
 
-def _across(members: DataFrame, found: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _met_blocks(own: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """own(cluster, rep, component, n_shingles) -> cluster, rep, component, low, high, first: each class once for every two blocks that it is compared in.
+
+    A block holds classes of one stratum (sizes within a factor of 100 / percent) and of one component, or of components too
+    small for a block of their own. Two blocks meet if their strata are equal or neighbours and they aren't of one component.
+    """
+    stratum = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(max(100 / percent, 1.01))) + 1e-9).cast("int")
+    placed = own.withColumn("s", stratum)
+    sizes = placed.groupBy("cluster", "s", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.when(F.col("n") >= block, F.col("component")).otherwise(F.lit(_POOL)))
+    units = materialise(sizes.groupBy("cluster", "s", "g").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")), "units")
+    homes = placed.join(sizes.drop("n"), ["cluster", "s", "component"]).join(units, ["cluster", "s", "g"])
+    homes = homes.select("cluster", "rep", "component", F.struct("s", "g", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("i")).alias("me"))
+    others = units.select("cluster", F.col("s").alias("t"), F.col("g").alias("h"), "blocks")
+    near = (F.abs(F.col("me.s") - F.col("t")) <= 1) & ((F.col("me.g") != F.col("h")) | (F.col("h") == _POOL))
+    met = homes.join(others, "cluster").where(near).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("other", F.struct(F.col("t").alias("s"), F.col("h").alias("g"), F.col("j").alias("i")))
+    pairs = met.select("cluster", "rep", "component", "me", F.least("me", "other").alias("low"), F.greatest("me", "other").alias("high"))
+    return pairs.select("cluster", "rep", "component", "low", "high", (F.col("me") == F.col("low")).alias("first"))
+
+
+def _across(members: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between different components of one bucket that stars have not found.
 
-    Classes that buckets of several components connect form a cluster; clusters are cut into blocks, every two blocks
-    meet in a task of their own, all their pairs are counted exactly on full sets, and of the links found only those that
-    join what is not joined yet are returned.
+    Classes that buckets of several components connect form a cluster; its blocks meet in tasks of their own, all pairs of
+    different components are counted exactly on full sets, and of the links found only those that join what is not joined
+    yet are returned.
     """
     shared = _mixed_buckets(members, found)
     clusters = materialise(components(shared.select("a", F.col("rep").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"), "clusters")
-    own = materialise(shared.select("rep", "component").distinct().join(clusters, "rep"), "own")
-    sizes = materialise(own.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
-    sets = materialise(_full_sets(docs, own.select("rep").distinct(), shingle).dropDuplicates(["rep"]), "sets")
-    cut = own.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "shingles")
+    own = materialise(shared.select("rep", "component").distinct().join(clusters, "rep").join(reps.select("rep", "n_shingles"), "rep"), "own")
+    sets = materialise(_full_sets(docs, own.select("rep").distinct(), shingle), "sets")
+    met = _met_blocks(own, percent).join(sets, "rep")
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own, rep, component = (table.column(c).to_numpy() for c in ("own", "rep", "component"))
+        first, rep, component = (table.column(c).to_numpy() for c in ("first", "rep", "component"))
         held = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        if table.column("low")[0] == table.column("high")[0]:
+            right = left
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         hit = similar_pairs([held[x] for x in left], [held[y] for y in right], percent) & (component[left][:, None] != component[right][None, :])
         joined: dict[int, int] = {}
 
@@ -244,7 +270,7 @@ def _across(members: DataFrame, found: DataFrame, docs: DataFrame, shingle: int,
                 links[1].append(max(rep[left[x]], rep[right[y]]))
         return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
 
-    return met.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return met.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -252,8 +278,9 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     least = percent / 100 - SLACK
     marked = materialise(signatures(docs, shingle), "signatures")
     classes = materialise(marked.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = marked.join(classes, ["set_hash"]).where("doc_id = rep").select("rep", "signature", "bands")
-    reps = materialise(reps.dropDuplicates(["rep"]), "reps")
+    own = F.min(F.struct("set_hash", "n_shingles", "signature", "bands"))  # one of them where a doc_id has several texts
+    reps = marked.join(classes, ["set_hash"]).where("doc_id = rep").groupBy("rep").agg(own.alias("r")).select("rep", "r.n_shingles", "r.signature", "r.bands")
+    reps = materialise(reps, "reps")
     bands = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a < top").select("bucket", "a")
     shared = materialise(shared, "buckets")
@@ -261,7 +288,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     stars = materialise(members.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
     links = materialise(_confirmed(_agreeing(stars, reps, least), docs, shingle, percent), "links")
     found = materialise(components(links), "components")
-    more = materialise(_across(members, found, docs, shingle, percent), "across")
+    more = materialise(_across(members, found, reps, docs, shingle, percent), "across")
     if not more.isEmpty():
         found = materialise(components(links.unionByName(more)), "components")
     names = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))

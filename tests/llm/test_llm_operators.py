@@ -158,6 +158,75 @@ def test_chain_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()} == want
 
 
+def test_blocks_meet_once_and_only_where_needed(spark):
+    """Every two classes of one cluster that may be linked meet in exactly one task; those of one large component never."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 2, i, 5 if i < 60 else 100 + i, int(rng.integers(10, 30))) for i in range(120)]
+    own = spark.createDataFrame(rows, "cluster long, rep long, component long, n_shingles long")
+    tasks = {}
+    for r in near_dedup._met_blocks(own, 80, block=8).collect():
+        tasks.setdefault((r.cluster, r.low, r.high), []).append((r.rep, r.first))
+    met = Counter()
+    for (_, low, high), held in tasks.items():
+        left, right = [x for x, f in held if f], [x for x, f in held if not f]
+        met.update({(min(a, b), max(a, b)) for a in left for b in (left if low == high else right) if a != b})
+    size, component = {r[1]: r[3] for r in rows}, {r[1]: r[2] for r in rows}
+    assert max(met.values()) == 1
+    for a in size:
+        for b in size:
+            if a < b and a % 2 == b % 2 and component[a] != component[b] and min(size[a], size[b]) >= 0.8 * max(size[a], size[b]):
+                assert met[a, b] == 1
+    large = [x for x in size if component[x] == 5]
+    assert sum(met[a, b] for a in large for b in large) < 0.35 * len(large) ** 2
+
+
+def test_two_texts_under_one_id(spark):
+    """Rows that share a doc_id but not a text give the same result in any order and partitioning."""
+    rows = [(1, "a b c d e f g h i j"), (1, "k l m n o p q r s t"), (2, "k l m n o p q r s t"), (3, "a b c d e f g h i j")]
+    got = [sorted(near_dedup.link(spark.createDataFrame(x, "doc_id long, text string").repartition(n), 2).collect()) for x, n in ((rows, 1), (rows[::-1], 4))]
+    assert got[0] == got[1]
+
+
+@pytest.fixture
+def never_broadcast(spark, monkeypatch):
+    """No side is small enough to be broadcast, by the operators' own bounds or by Spark's."""
+    from chunkloom.llm import common
+
+    for module, name in ((near_dedup, "BROADCAST_ROWS"), (exact_dedup, "BROADCAST_ROWS"), (repeats, "BROADCAST_SPANS"), (common, "BROADCAST_IDS")):
+        monkeypatch.setattr(module, name, -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_near_components_without_broadcast(docs, texts, never_broadcast):
+    assert {r.doc_id: r.component_id for r in near_dedup.link(docs, 2).collect()} == brute_components(texts, 2)[1]
+
+
+def test_exact_groups_without_broadcast(docs, texts, never_broadcast):
+    test_exact_groups(docs, texts)
+
+
+def test_repeats_without_broadcast(spark, docs, texts, never_broadcast):
+    test_repeats(spark, docs, texts, 400)
+
+
+def test_without_ids_by_shuffle(spark, docs, never_broadcast):
+    from chunkloom.llm.common import without
+
+    left = without(docs, docs.where("doc_id % 3 = 0").select("doc_id"))
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.where("doc_id % 3 <> 0").collect()}
+
+
+def test_items_in_shards(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text")
+    whole = sorted(decontamination.search(docs, items).collect())
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 7)
+    cut = sorted(decontamination.search(docs, items).collect())
+    assert [(r.doc_id, r.item_id) for r in cut] == [(r.doc_id, r.item_id) for r in whole] and whole
+
+
 def test_pairs_by_products():
     rng = np.random.default_rng(3)
     left, right = ([np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(30)] for _ in range(2))
