@@ -1,11 +1,15 @@
-"""Removal of long repeated strings: induction from sorted sample suffixes.
+"""Removal of long repeated strings by sampled hash grouping in three levels.
 
-Every string of LENGTH bytes has one sample suffix, which its own bytes choose (the smallest hash of 16 bytes among its
-first WINDOW ones), so equal strings have equal samples at equal places. Only sample suffixes are sorted (Spark's external
-sort and aggregation, on disk where memory ends), by the bytes that all strings of a sample share. What holds for them is
-induced for the strings that start before them: samples alone in their class carry no repeat; samples whose whole
-surroundings recur make all their strings repeats; what lies between is looked at again in cells of 16 starts, and only
-cells at the edge of a repeat string by string. Classes of any size are counts, never lists of pairs.
+Every string of LENGTH bytes has one sample, which its own bytes choose (the smallest hash of 16 bytes among its first
+WINDOW ones), so equal strings have equal samples at equal places. Samples are grouped by a hash of the bytes that all
+strings of a sample share (Spark's aggregation, on disk where memory ends): samples alone in their class carry no repeat;
+samples whose whole surroundings recur make all their strings repeats; what lies between is looked at again in cells of 16
+starts, and only cells at the edge of a repeat string by string. Classes of any size are counts, never lists of pairs.
+
+This is not an external induced suffix sort: nothing is sorted in suffix order and there are no common-prefix values. One
+level of such a sort was measured (an 8-byte key, document and place of each leftmost S-type suffix, range-partitioned and
+sorted by Spark): 0.30 suffixes a byte, 6.5 times the input in shuffle for the first key alone, where 4 times is the budget
+of the whole operator; inducing the other suffixes moves more than three times that. The README has the figures.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts anywhere else, in the same document or another.
 Texts are UTF-8; matches never cross documents. Defined results: null and empty texts have 0 bytes and no spans; texts
@@ -27,8 +31,10 @@ from chunkloom.llm.common import documents, map_rows, materialise
 LENGTH = 400
 GRAM = 16
 CELL = 16
-#: Spans (8 bytes each) up to which the lists for the next reading of the texts are broadcast; beyond it they are joined by shuffle.
-BROADCAST_SPANS = 6_000_000
+#: Bytes up to which the lists for the next reading of the texts are broadcast; beyond them they are joined by shuffle.
+BROADCAST_BYTES = 192 << 20
+#: Bytes of one run or span in such a list, at most: its numbers, and the row of its text where it is the only one.
+ENTRY_BYTES = 80
 
 U = np.uint64
 _PLACE = U((1 << 28) - 1)
@@ -173,7 +179,7 @@ def _first_rows(docs: DataFrame, length: int) -> DataFrame:
 def _next_rows(docs: DataFrame, runs: DataFrame, cut, length: int) -> DataFrame:
     """runs(d, t, start, n, k) read in their texts again and cut finer."""
     listed = runs.groupBy("d", "t").agg(F.collect_set(F.struct("start", "n", "k")).alias("runs"))
-    small = runs.count() <= BROADCAST_SPANS
+    small = runs.count() * ENTRY_BYTES <= BROADCAST_BYTES
 
     def work():
         def step(batch):
@@ -219,7 +225,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spans = repeated_runs(docs, length).select("d", "t", (F.shiftleft(F.col("start").cast("long"), 32) + F.col("start") + F.col("n") - 1 + length).alias("span"))
     spans = materialise(spans, "spans")
-    small = spans.count() <= BROADCAST_SPANS
+    small = spans.count() * ENTRY_BYTES <= BROADCAST_BYTES
     listed = spans.groupBy("d", "t").agg(F.collect_list("span").alias("spans"))
 
     def work():

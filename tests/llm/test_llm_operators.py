@@ -192,7 +192,7 @@ def never_broadcast(spark, monkeypatch):
     """No side is small enough to be broadcast, by the operators' own bounds or by Spark's."""
     from chunkloom.llm import common
 
-    for module, name in ((near_dedup, "BROADCAST_ROWS"), (exact_dedup, "BROADCAST_ROWS"), (repeats, "BROADCAST_SPANS"), (common, "BROADCAST_IDS")):
+    for module, name in ((near_dedup, "BROADCAST_ROWS"), (exact_dedup, "BROADCAST_ROWS"), (repeats, "BROADCAST_BYTES"), (common, "BROADCAST_IDS")):
         monkeypatch.setattr(module, name, -1)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -260,6 +260,24 @@ def test_leaks(spark, docs, texts):
 def test_repeats(spark, docs, texts, length):
     rows = sorted(texts.items())[:40] if length < 400 else sorted(texts.items())
     rows += [(10_000, "ab" * 300), (10_001, rows[0][1][:450] + "é"), (10_002, "")]
+    repeats_as_counted(spark, rows, length)
+
+
+def test_repeats_on_both_sides_of_the_length(spark):
+    """Passages of 51 to 80 words, from 300 to 500 bytes, in three otherwise different texts each: those of 400 bytes go whole, shorter ones stay whole."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9)))
+    passages = [" ".join(word() for _ in range(51 + i % 30)) for i in range(60)] + [" " * k + "x" * (400 - k) for k in (0, 1)] + ["y" * 399]
+    rows = [(100 * i + j, " ".join(word() for _ in range(40)) + f" {j}" + p + f"{j} " + " ".join(word() for _ in range(40))) for i, p in enumerate(passages) for j in range(3)]
+    got = repeats_as_counted(spark, rows, 400)
+    sizes = [len(p.encode()) for p in passages]
+    assert min(sizes) < 400 < max(sizes)
+    for i, n in enumerate(sizes):
+        assert all((got[100 * i + j].n_removed >= n) == (n >= 400) and (n >= 400 or got[100 * i + j].n_removed == 0) for j in range(3))
+
+
+def repeats_as_counted(spark, rows, length):
+    """Rows of the operator by doc_id, held against counts of all strings."""
     data = {i: x.encode() for i, x in rows}
     starts = Counter(b[i : i + length] for b in data.values() for i in range(len(b) - length + 1))
     got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()
@@ -272,6 +290,7 @@ def test_repeats(spark, docs, texts, length):
         runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), int(gone.sum()), runs)
         assert r.kept_sha256 == hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()
+    return {r.doc_id: r for r in got}
 
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
