@@ -1,13 +1,14 @@
 """Language of a text from hyperdimensional profiles.
 
-Every letter has a random vector of signs; a trigram's vector binds (multiplies) its letters' vectors, each permuted by
-its place; a document bundles (adds) its trigrams' vectors; a language's prototype bundles the unit vectors of its
+Every letter of every script has a random vector of signs, drawn from its code point; a trigram's vector binds (multiplies) its
+letters' vectors, each permuted by its place; a document bundles (adds) its trigrams' vectors; a language's prototype bundles the unit vectors of its
 labelled documents. A document takes the language whose prototype, freed of what all languages share, has the largest
 cosine with it.
 
 Defined results: null text and text without letters give `und` with score 0; null lang is never learnt from; a null
-doc_id counts as not held out; ties go to the first language in code order; other columns are ignored; an empty table
-gives an empty result, and without any labelled document every text is `und`.
+doc_id counts as not held out; ties go to the first language in code order; very long texts are read whole; repeated rows get
+equal results; other columns are ignored; an empty table gives an empty result, and without any labelled document every text
+is `und`.
 """
 
 from __future__ import annotations
@@ -21,54 +22,89 @@ from chunkloom.llm.common import documents, map_rows, texts_of
 
 DIMENSIONS = 1024
 SEED = 20240229
-#: Letter classes: 0 is the gap between words, 1-26 are a-z, other letters share 27-31 by code point.
-CLASSES = 32
+#: Trigrams of the gap between words and a-z are looked up in a table; those with other letters are bound as they come.
+PLAIN = 27
+#: Other letters whose vectors a worker remembers.
+REMEMBERED = 20_000
 #: Sharpness of the softmax over cosines that gives the score.
 SHARPNESS = 24.0
 QUANTUM = 1 << 20
 
 
-def letter_classes() -> np.ndarray:
-    """Class of every code point below 65536, case apart."""
-    out = np.zeros(1 << 16, np.int32)
-    for cp in range(1 << 16):
+def letters_below(limit: int) -> np.ndarray:
+    """For every code point: 0 if it is no letter, 1-26 for a-z in any case, else 26 + the code point of its lower-case form."""
+    out = np.zeros(limit, np.int64)
+    for cp in range(limit):
         c = chr(cp)
         if c.isalpha():
-            low = c.lower()[:1]
-            out[cp] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) * 2654435761 % (1 << 32) // ((1 << 32) // 5 + 1)
+            low = ord(c.lower()[0])
+            out[cp] = low - 96 if 97 <= low <= 122 else 26 + low
     return out
 
 
-def trigram_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Sign vectors of all trigrams of letter classes: product of the letters' vectors, permuted by 0, 1 and 2 places."""
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, dimensions))
-    a, b, c = (np.roll(letters, k, axis=1) for k in range(3))
-    return (a[:, None, None] * b[None, :, None] * c[None, None, :]).reshape(CLASSES**3, dimensions)
+def letter_vector(letter: int) -> np.ndarray:
+    """The signs of a letter, from the seed and the letter alone."""
+    return np.random.default_rng((SEED, letter)).choice(np.array([-1, 1], np.int8), DIMENSIONS)
 
 
-_TABLES: list = []
+def bound(letters: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+    """Vectors of trigrams (rows of places in `letters`): product of the letters' vectors, permuted by 0, 1 and 2 places."""
+    a, b, c = (np.roll(letters, k, axis=1)[trigrams[:, k]] for k in range(3))
+    return a * b * c
 
 
-def _tables():
-    """Built once in a worker process: fixed in size, from the seed."""
-    if not _TABLES:
-        _TABLES.extend((letter_classes(), trigram_vectors()))
-    return _TABLES
+class Letters:
+    """Letters of texts and the vectors of their trigrams, held by a worker process."""
+
+    def __init__(self):
+        self.low = letters_below(1 << 16)
+        self.held: dict[int, np.ndarray] = {}
+        plain = np.stack([letter_vector(k) for k in range(PLAIN)])
+        self.table = bound(plain, np.stack(np.unravel_index(np.arange(PLAIN**3), (PLAIN,) * 3), 1))
+
+    def of(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = self.low[np.minimum(points, 0xFFFF)]
+        for cp in np.unique(points[points > 0xFFFF]).tolist():
+            c = chr(cp)
+            s[points == cp] = 26 + ord(c.lower()[0]) if c.isalpha() else 0
+        return s
+
+    def vectors(self, letters: np.ndarray) -> np.ndarray:
+        if len(self.held) > REMEMBERED:
+            self.held.clear()
+        for k in letters.tolist():
+            if k not in self.held:
+                self.held[k] = letter_vector(k)
+        return np.stack([self.held[k] for k in letters.tolist()])
+
+
+_LETTERS: list[Letters] = []
 
 
 def bundle(text: str) -> np.ndarray | None:
     """Sum of the text's trigram vectors, or None if it has no letters."""
-    classes, vectors = _tables()
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(points < 1 << 16, classes[np.minimum(points, 0xFFFF)], CLASSES - 1)
+    if not _LETTERS:
+        _LETTERS.append(Letters())  # built once in a worker process: fixed in size, from the seed
+    held = _LETTERS[0]
+    s = held.of(text)
     s = s[np.flatnonzero((s > 0) | np.r_[True, s[:-1] > 0])] if len(s) else s  # gaps of any length are one gap
     s = np.concatenate(([0], s, [0]))
-    codes = (s[:-2] * CLASSES + s[1:-1]) * CLASSES + s[2:]
-    counts = np.bincount(codes[s[1:-1] > 0])
-    own = np.flatnonzero(counts)
-    if not len(own):
+    own = s[1:-1] > 0
+    a, b, c = s[:-2][own], s[1:-1][own], s[2:][own]
+    if not len(b):
         return None
-    return counts[own].astype(np.float32) @ vectors[own].astype(np.float32)
+    plain = (a < PLAIN) & (b < PLAIN) & (c < PLAIN)
+    counts = np.bincount(((a * PLAIN + b) * PLAIN + c)[plain], minlength=1)
+    known = np.flatnonzero(counts)
+    total = counts[known].astype(np.float32) @ held.table[known].astype(np.float32)
+    if not plain.all():
+        codes, n = np.unique((a << 42 | b << 21 | c)[~plain], return_counts=True)
+        letters, place = np.unique(np.concatenate([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF]), return_inverse=True)
+        vectors, place = held.vectors(letters), place.reshape(3, -1).T
+        for at in range(0, len(codes), 4096):
+            total = total + n[at : at + 4096].astype(np.float32) @ bound(vectors, place[at : at + 4096]).astype(np.float32)
+    return total
 
 
 def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
