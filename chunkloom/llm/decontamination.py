@@ -1,10 +1,12 @@
-"""Benchmark decontamination: a BM25 inverted index of test items, searched with block-max pruning by every passage.
-
-Test items are cut into pieces of at most PIECE words and indexed: postings with their BM25 impacts, and for every term
-the largest impact in each block of pieces. A training text is read as passages of two neighbouring runs of PIECE words,
-so every piece that a text contains lies whole in some passage. A passage is a query: blocks whose summed block maxima
-stay under their lowest threshold are passed over, in the others exact scores are taken, and every piece that reaches
-SHARE of its own full score is retrieved. An item retrieved for a text is verified on runs of five words: at least 0.8 of
+"""Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND by every passage.
+
+Test items are cut into pieces of at most PIECE words and indexed: postings with their BM25 impacts in the order of pieces, and
+for every term and block of BLOCK pieces that holds it the largest impact there. A training text is read as passages of two
+neighbouring runs of PIECE words, so every piece that a text contains lies whole in some passage. A passage is a query. Its
+terms are ordered by their largest impact; up to the pivot, where the running sum reaches the lowest threshold of all pieces,
+terms raise no piece alone and only the blocks of the terms from the pivot on are opened; of these, blocks whose summed block
+maxima and what the terms before the pivot may add stay under the block's lowest threshold are passed over. In the others exact
+scores are taken, and every piece that reaches SHARE of its own full score is retrieved. An item retrieved for a text is verified on runs of five words: at least 0.8 of
 the item's, or of both its question and its answer, must occur in the text. Runs may lie anywhere in the text, so the
 passages alone don't find every such item: hashes of the runs of each item and of the longer of its two parts are looked
 up in the whole text, and what holds 0.8 of either is retrieved as well. bm25 is then the item's best score in a passage.
@@ -34,8 +36,9 @@ BLOCK = 64
 SHARE = 0.6
 SHINGLE = 5
 OVERLAP = 0.8
-#: Items of one broadcast index; a larger set of items is searched shard by shard.
-SHARD_ITEMS = 50_000
+#: Items, and bytes of their texts, of one broadcast index (some 60 bytes of index for each byte of text); a larger set of items
+#: is searched shard by shard, and an item larger than a shard is refused.
+SHARD_ITEMS, SHARD_BYTES = 50_000, 8 << 20
 
 _LETTERS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _QUESTION = re.compile(r".*?(?:\n|[.?!](?:\s|$)|$)", re.S)
@@ -103,11 +106,14 @@ class Index:
         idf = np.repeat(np.log(1 + (n - df + 0.5) / (df + 0.5)), df)
         self.impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.piece] / mean)) if len(tf) else tf
         self.threshold = SHARE * np.bincount(self.piece, self.impact, len(pieces)) - 1e-9
-        self.size = max(BLOCK, -(-n // BLOCK))
-        self.blocks = -(-n // self.size)
-        self.top = np.zeros((len(postings), self.blocks), np.float32)
-        np.maximum.at(self.top, (np.repeat(np.arange(len(postings)), df), self.piece // self.size), self.impact.astype(np.float32))
-        self.peak = self.top.max(1).astype(float) if len(postings) else np.zeros(0)
+        # One entry for each term and block that holds it: the block, its largest impact, and where its postings start.
+        term_block = np.repeat(np.arange(len(postings)), df) * (n // BLOCK + 1) + self.piece // BLOCK
+        self.entry_from = np.flatnonzero(np.r_[True, term_block[1:] != term_block[:-1]]) if len(tf) else np.zeros(0, np.int64)
+        self.entry_block = self.piece[self.entry_from] // BLOCK
+        self.entry_max = np.maximum.reduceat(self.impact, self.entry_from) if len(tf) else np.zeros(0)
+        self.entry_from = np.r_[self.entry_from, len(tf)]
+        self.entries = np.searchsorted(self.entry_from[:-1], self.at)
+        self.peak = np.maximum.reduceat(self.impact, self.at[:-1]) if len(tf) else np.zeros(0)
         self.own_terms = np.full((len(pieces), PIECE), -1, np.int64)
         self.own_impacts = np.zeros((len(pieces), PIECE))
         filled = [0] * len(pieces)
@@ -115,8 +121,7 @@ class Index:
             self.own_terms[p, filled[p]], self.own_impacts[p, filled[p]] = t, x
             filled[p] += 1
         self._index_runs()
-        edge = np.minimum(np.arange(self.blocks + 1) * self.size, len(pieces))
-        self.least = np.array([self.threshold[a:b].min() if b > a else np.inf for a, b in zip(edge, edge[1:])])
+        self.least = np.minimum.reduceat(self.threshold, np.arange(0, len(pieces), BLOCK)) if len(pieces) else np.zeros(0)
 
     def _index_runs(self) -> None:
         """Hashed runs of the lists that an item must hold: its own, and those of the longer of question and answer."""
@@ -189,38 +194,33 @@ class Index:
             return {}
         # A passage is run r with run r+1: every word belongs to the passages of its own run and of the run before.
         pairs = np.unique(np.concatenate([runs + 1, runs]) * v + np.concatenate([terms, terms]))
-        passage, terms = pairs // v, pairs % v
-        starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-        live = np.add.reduceat(self.top[terms], starts, axis=0) >= self.least - 1e-3
-        kept = np.flatnonzero(live.any(1))
-        if not len(kept):
-            return {}
-        names, live = passage[starts][kept], live[kept]
-        own = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(terms)]))
-        row = np.searchsorted(kept, own)
-        use = kept[np.minimum(row, len(kept) - 1)] == own
-        row, terms = row[use], terms[use]
-        # Terms in ascending order of their largest impact: those whose sum stays under every threshold raise no piece alone.
+        names, row = np.unique(pairs // v, return_inverse=True)
+        terms = pairs % v
+        # The pivot of each passage: terms in ascending order of their largest impact, while their sum stays under every threshold.
         order = np.lexsort((self.peak[terms], row))
         row, terms = row[order], terms[order]
         heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         total = np.cumsum(self.peak[terms])
         so_far = total - np.repeat(np.r_[0, total[heads[1:] - 1]], np.diff(np.r_[heads, len(row)]))
-        limit = np.where(live, self.least, np.inf).min(1)
-        weak = so_far < limit[row] - 1e-6
-        rest = np.bincount(row[weak], self.peak[terms[weak]], len(kept))
+        weak = so_far < self.least.min() - 1e-6
+        rest = np.bincount(row[weak], self.peak[terms[weak]], len(names))
         row, terms = row[~weak], terms[~weak]
-        spot, n = spread(self.at, terms)
+        # Blocks of the terms from the pivot on, and those of them whose maxima can reach their lowest threshold.
+        entry, n = spread(self.entries, terms)
+        row, block = np.repeat(row, n), self.entry_block[entry]
+        keys, place = np.unique(row * len(self.least) + block, return_inverse=True)
+        live = np.bincount(place, self.entry_max[entry], len(keys)) + rest[keys // len(self.least)] >= self.least[keys % len(self.least)] - 1e-6
+        row, entry = row[live[place]], entry[live[place]]
+        spot, n = spread(self.entry_from, entry)
         row, piece, impact = np.repeat(row, n), self.piece[spot], self.impact[spot]
-        use = live[row, piece // self.size]
-        keys, place = np.unique(row[use] * len(self.owner) + piece[use], return_inverse=True)
+        keys, place = np.unique(row * len(self.owner) + piece, return_inverse=True)
         row, piece = keys // len(self.owner), keys % len(self.owner)
-        use = np.bincount(place, impact[use], len(keys)) + rest[row] >= self.threshold[piece]
+        use = np.bincount(place, impact, len(keys)) + rest[row] >= self.threshold[piece] - 1e-6
         row, piece = row[use], piece[use]
         wanted = names[row][:, None] * v + self.own_terms[piece]
         at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
         score = np.where((pairs[at] == wanted) & (self.own_terms[piece] >= 0), self.own_impacts[piece], 0).sum(1)
-        text_of = np.maximum(np.searchsorted(first, names - 1, "right") - 1, 0)
+        text_of = np.searchsorted(first, names, "right") - 1  # the run number left free belongs to the text before it
         found: dict[tuple[int, int], float] = {}
         for k in np.flatnonzero(score >= self.threshold[piece]):
             key = (int(text_of[row[k]]), int(self.owner[piece[k]]))
@@ -269,7 +269,11 @@ def indexes(items: DataFrame):
     """Broadcast indexes of all items(item_id, text), SHARD_ITEMS at a time."""
     spark = items.sparkSession
     rows = items.select("item_id", "text").where("text is not null")
-    shards = max(1, -(-rows.count() // SHARD_ITEMS))
+    size = F.octet_length("text")
+    n, size, largest = rows.agg(F.count(F.lit(1)), F.sum(size), F.max(size)).first()
+    if (largest or 0) > SHARD_BYTES:
+        raise ValueError(f"an item of {largest} bytes is larger than a shard of the index ({SHARD_BYTES})")
+    shards = max(1, -(-n // SHARD_ITEMS), -(-2 * (size or 0) // SHARD_BYTES))
     for shard in range(shards):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()
         yield spark.sparkContext.broadcast(Index(sorted((-1 if r.item_id is None else r.item_id, r.text) for r in own if words_of(r.text))))
