@@ -12,6 +12,8 @@ from tokenizers import Regex, pre_tokenizers
 
 WHITE = r"\p{White_Space}"
 NEVER = 1 << 62
+#: Ids and ranks are packed into 17 bits each.
+MOST_IDS = 1 << 17
 
 
 class Splitter:
@@ -58,7 +60,12 @@ class Merger:
 
     def __init__(self, spec: str):
         model = json.loads(spec)["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model.get("type") != "BPE" or odd:
+            raise ValueError(f"not a plain byte-pair model: {model.get('type')} {odd}")
         self.vocab: dict[str, int] = model["vocab"]
+        if max(len(self.vocab), max(self.vocab.values(), default=0) + 1, len(model["merges"])) > MOST_IDS:
+            raise ValueError(f"ids and ranks are packed into {MOST_IDS - 1} at most")
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         v = self.vocab
@@ -122,4 +129,16 @@ class Merger:
 
 
 def special_tokens(spec: str) -> dict[str, int]:
-    return {t["content"]: t["id"] for t in json.loads(spec).get("added_tokens", [])}
+    """Added tokens of a vocabulary file. They are taken as they stand in the text; files that ask for more are refused."""
+    added = json.loads(spec).get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that match single words, strip or are normalised are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def expect(spec: str, **parts) -> None:
+    """Refuses a vocabulary file whose parts (normalizer, pre_tokenizer ...) aren't those that the caller's code is written for."""
+    held = json.loads(spec)
+    for name, wanted in parts.items():
+        if held.get(name) != wanted:
+            raise ValueError(f"the file's {name} is not the expected one: {held.get(name)}")

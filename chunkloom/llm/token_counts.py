@@ -13,17 +13,20 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm.bpe import Merger, Splitter, byte_alphabet, special_tokens
+from chunkloom.llm.bpe import Merger, Splitter, byte_alphabet, expect, special_tokens
 from chunkloom.llm.common import documents, map_rows, texts_of
 
 #: Fixed by the vocabulary's format: how byte-level vocabularies split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|{W}+(?!\P{{White_Space}})|{W}+"
+# The pre-tokenizer of the files that this module reads; others are refused.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 REMEMBERED = 300_000
 
 
 def whole_tokens(spec: str) -> frozenset[str]:
     """Vocabulary strings that encode alone as exactly their own token."""
+    expect(spec, normalizer=None, pre_tokenizer=PRE_TOKENIZER)
     merger, back = Merger(spec), {c: b for b, c in enumerate(byte_alphabet())}
     proven = set()
     for token, number in merger.vocab.items():

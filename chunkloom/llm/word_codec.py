@@ -23,11 +23,20 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.bpe import Merger, Splitter, special_tokens
+from chunkloom.llm.bpe import Merger, Splitter, expect, special_tokens
 from chunkloom.llm.common import documents, map_rows, materialise, sha_hex, share_bytes, texts_of
 
 #: Fixed by the vocabulary's format: the pre-tokens of word-end vocabularies; what lies between them is dropped.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|{O}+"
+# The normalizer and pre-tokenizer of the files that this module reads; others are refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 LEXICON_WORDS = 1 << 17
 REMEMBERED = 200_000
@@ -37,6 +46,7 @@ class Words:
     """Text -> pre-tokens and special tokens of a word-end vocabulary."""
 
     def __init__(self, spec: str):
+        expect(spec, normalizer=NORMALIZER, pre_tokenizer=PRE_TOKENIZER)
         self.special = special_tokens(spec)
         self.find = Splitter(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
