@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node sees: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder every node sees: spark.checkpoint.dir, or one of our own where it is unset and everything runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("chunkloom.local.checkpoint", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -26,12 +30,48 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class _Scratch(threading.local):
+    """Tables written inside the scratch blocks of this thread, innermost last."""
+
+    def __init__(self):
+        self.held: list[dict[str, DataFrame]] = []
+
+
+_SCRATCH = _Scratch()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH.held:
+        _SCRATCH.held[-1][path] = out
+    return out
+
+
+@contextmanager
+def scratch():
+    """Tables that materialise() writes inside are deleted at the end, but for those that outlive() names."""
+    _SCRATCH.held.append({})
+    try:
+        yield
+    finally:
+        for path, df in _SCRATCH.held.pop().items():
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def outlive(df: DataFrame) -> DataFrame:
+    """df, a table written in the innermost scratch block, handed on to the block around it, or for good where there is none."""
+    for path, held in _SCRATCH.held[-1].items():
+        if held is df:
+            del _SCRATCH.held[-1][path]
+            if len(_SCRATCH.held) > 1:
+                _SCRATCH.held[-2][path] = df
+            break
+    return df
 
 
 def share_bytes(spark: SparkSession, data: bytes, name: str) -> str:
@@ -90,7 +130,7 @@ def filter_rows(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], lis
     return map_rows(df, set_up, df.schema)
 
 
-#: Ids up to which a list of documents to drop is broadcast (8 bytes each); a longer one is joined by shuffle.
+#: Ids up to which a list of documents to drop is broadcast (some 30 bytes each in memory: 120 MB); a longer one is joined by shuffle.
 BROADCAST_IDS = 4_000_000
 
 

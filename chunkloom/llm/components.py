@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import materialise
+from chunkloom.llm.common import materialise, outlive, scratch
 
 #: Edges of one file while an edge table is rewritten; a small table is not spread over all shuffle partitions.
 FILE_EDGES = 100_000
@@ -35,16 +35,21 @@ def _small_star(edges: DataFrame, files: int) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges(a, b), any order, repeats and loops allowed -> node, component (smallest reachable node), for nodes with an edge to another node."""
+    """edges(a, b), any order, repeats and loops allowed -> node, component (smallest reachable node), for nodes with an edge to another node.
+
+    Each round's tables are deleted when the next one's are written.
+    """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, state = _written(now, "edges")
     for _ in range(rounds):
         if not state[0]:
             break
         files = 2 + state[0] // FILE_EDGES
-        large = materialise(_large_star(now, files).distinct().coalesce(files), "large")
         before = state
-        now, state = _written(_small_star(large, files).distinct(), "small", files)
+        with scratch():
+            large = materialise(_large_star(now, files).distinct().coalesce(files), "large")
+            now, state = _written(_small_star(large, files).distinct(), "small", files)
+            outlive(now)
         if state == before:
             break
     else:

@@ -5,8 +5,8 @@ there is one filter per digest bucket. A digest that no filter admits is new. Th
 buckets on the whole digest, and the texts of documents that share a digest are compared byte by byte.
 
 Equal texts are those identical after lower-casing A-Z only. Defined results: null text counts as empty; a null doc_id is
-never the one that stays unless all are null (then keep_id is null); repeated rows count as copies of each other; an empty
-table gives an empty result; columns other than doc_id and text are ignored.
+never the one that stays unless all are null (then keep_id is null); repeated rows count as copies of each other; very long
+texts are hashed and compared whole; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import fuse_filter
-from chunkloom.llm.common import documents, map_rows, materialise
+from chunkloom.llm.common import documents, map_rows, materialise, outlive, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Digests of one bucket, on average; a bucket's filter and its incoming digests are one task's work.
 BUCKET_DIGESTS = 250_000
-#: Documents in groups up to which their ids (24 bytes each) are broadcast to the scan that fetches their texts.
+#: Documents in groups up to which their ids and digests (some 100 bytes each in memory: 100 MB) are broadcast to the scan that fetches their texts.
 BROADCAST_ROWS = 1_000_000
+#: Copies of one text that one task compares; a larger group is dealt to as many tasks as it needs.
+SALT_ROWS = 50_000
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -88,13 +90,16 @@ def deduplicate(docs: DataFrame, batches: int = 3) -> DataFrame:
     `batches`: the table is taken as so many arrivals (by a hash of doc_id); each is frozen as a snapshot for the later ones.
     """
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    hashed = materialise(digests(docs).withColumn("batch", batch), "digests")
-    n_buckets = max(1, -(-hashed.count() // BUCKET_DIGESTS)) * batches
-    groups = materialise(exact_groups(hashed, n_buckets), "exact")
-    members = materialise(hashed.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size"), "members")
-    checked = _byte_checked(docs, members)
-    if not checked.where("not same").isEmpty():
-        groups = _regrouped(docs, checked, groups)
+    with scratch():
+        hashed = outlive(materialise(digests(docs).withColumn("batch", batch), "digests"))
+        n_buckets = max(1, -(-hashed.count() // BUCKET_DIGESTS)) * batches
+        groups = outlive(materialise(exact_groups(hashed, n_buckets), "exact"))
+        members = materialise(hashed.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size"), "members")
+        checked = _byte_checked(docs, members)
+        clash = not checked.where("not same").isEmpty()
+        if clash:
+            groups = outlive(materialise(_regrouped(docs, checked, groups), "regrouped"))
+    if clash:
         keyed = _with_text_key(docs, hashed, groups)
     else:
         keyed = hashed.join(groups, "digest", "left")
@@ -109,12 +114,13 @@ def _normal(text: str = "text"):
 def _byte_checked(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members with same: whether the text equals, byte for byte, that of the document that stays."""
     small = members.count() <= BROADCAST_ROWS
-    ids = members.select("doc_id", "digest", "keep_id").where("doc_id is not null").distinct()
+    parts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
+    ids = members.select("doc_id", "digest", "keep_id", parts.alias("parts")).where("doc_id is not null").distinct()
     texts = docs.select("doc_id", _normal().alias("normal")).join(F.broadcast(ids) if small else ids, "doc_id")
-    texts = materialise(texts, "texts")
-    kept = texts.where("doc_id = keep_id").groupBy("doc_id").agg(F.first("normal").alias("first_normal")).withColumnRenamed("doc_id", "keep_id")
-    kept = materialise(kept, "kept")
-    return materialise(texts.join(kept, "keep_id").select("digest", (F.col("normal") == F.col("first_normal")).alias("same")), "checked")
+    texts = materialise(texts.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")), "texts")
+    kept = texts.where("doc_id = keep_id").groupBy("doc_id", "digest", "parts").agg(F.max("normal").alias("first_normal")).withColumnRenamed("doc_id", "keep_id")
+    kept = materialise(kept, "kept").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return materialise(texts.join(kept, ["keep_id", "digest", "salt"]).select("digest", (F.col("normal") == F.col("first_normal")).alias("same")), "checked")
 
 
 def _regrouped(docs: DataFrame, checked: DataFrame, groups: DataFrame) -> DataFrame:

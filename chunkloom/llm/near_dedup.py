@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import documents, map_rows, materialise
+from chunkloom.llm.common import documents, map_rows, materialise, outlive, scratch
 from chunkloom.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -35,7 +35,7 @@ SLACK = 0.14
 BLOCK = 256
 #: Block group of the components that don't fill a block.
 _POOL = -(1 << 63)
-#: Document ids up to which the list of those to fetch is broadcast (8 bytes each).
+#: Document ids up to which the list of those to fetch is broadcast (some 30 bytes each in memory: 30 MB).
 BROADCAST_ROWS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -275,6 +275,17 @@ def _across(members: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFra
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row of docs."""
+    with scratch():
+        marked, names = _named(docs, shingle, percent)
+        outlive(marked)
+        outlive(names)
+    ended = marked.select("doc_id", "n_shingles", "set_hash").join(names, "set_hash", "left")
+    own = F.coalesce("component", "doc_id")
+    return ended.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def _named(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of all documents' signatures and of the component of each set_hash."""
     least = percent / 100 - SLACK
     marked = materialise(signatures(docs, shingle), "signatures")
     classes = materialise(marked.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
@@ -292,10 +303,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     if not more.isEmpty():
         found = materialise(components(links.unionByName(more)), "components")
     names = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    names = materialise(names, "names")
-    ended = marked.select("doc_id", "n_shingles", "set_hash").join(names, "set_hash", "left")
-    own = F.coalesce("component", "doc_id")
-    return ended.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return marked, materialise(names, "names")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ turns into the probability of label 1. Both are fitted on a bounded sample of la
 
 Defined results: null and empty texts are one empty line and get that line's score; blank lines count as lines; labels
 that are null are not learnt from; without any usable label every score is 0.5; null doc_id counts as not held out for
-scoring; repeated rows get equal scores; other columns are ignored.
+scoring; repeated rows get equal scores; very long texts are scored whole, line by line; an empty table gives an empty result
+(and, where nothing labelled is left to learn from, scores of 0.5); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from chunkloom.llm.common import documents, filter_rows, map_rows, table, texts_
 
 #: Labelled documents that the field is fitted on, those with the smallest hashes of doc_id.
 SAMPLE_DOCS = 12_000
+#: Lines of each of them that the fit uses (60 bytes a line; scoring reads whole texts).
+SAMPLE_LINES = 200
 BINS = 8
 KEEP = 0.3
 MEASURES = 13
@@ -167,11 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     def work():
         def step(batch):
             rows = [lines_of(t) for t in texts_of(batch)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([n.tobytes() for _, n in rows], pa.binary())], ["doc_id", "quality", "x", "n"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x[:SAMPLE_LINES].tobytes() for x, _ in rows], pa.binary()), pa.array([n[:SAMPLE_LINES].tobytes() for _, n in rows], pa.binary())], ["doc_id", "quality", "x", "n"])
 
         return step
 
-    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))  # of several texts under one doc_id the largest
     found = map_rows(one, work, "doc_id long, quality int, x binary, n binary").collect()  # at most sample_docs rows
     found = [r for r in sorted(found, key=lambda r: r.doc_id)]
     field = LineField()

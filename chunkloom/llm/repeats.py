@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import documents, map_rows, materialise
+from chunkloom.llm.common import documents, map_rows, materialise, outlive, scratch
 
 LENGTH = 400
 GRAM = 16
@@ -223,8 +223,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes), one row per row of docs."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    spans = repeated_runs(docs, length).select("d", "t", (F.shiftleft(F.col("start").cast("long"), 32) + F.col("start") + F.col("n") - 1 + length).alias("span"))
-    spans = materialise(spans, "spans")
+    with scratch():
+        spans = repeated_runs(docs, length).select("d", "t", (F.shiftleft(F.col("start").cast("long"), 32) + F.col("start") + F.col("n") - 1 + length).alias("span"))
+        spans = outlive(materialise(spans, "spans"))
     small = spans.count() * ENTRY_BYTES <= BROADCAST_BYTES
     listed = spans.groupBy("d", "t").agg(F.collect_list("span").alias("spans"))
 

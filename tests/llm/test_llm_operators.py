@@ -468,3 +468,106 @@ def test_suffix_array():
     assert order.tolist() == want
     lcp = [0] + [next((k for k in range(8) if a + k >= 10 or b + k >= 10 or tokens[a + k] != tokens[b + k]), 8) for a, b in zip(want, want[1:])]
     assert common.tolist() == lcp
+
+
+def plain_bundle(text):
+    """Sum of the bound letter vectors of all trigrams, one by one."""
+    low = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text]
+    s = [0]
+    for x in low:
+        x = x - 96 if 97 <= x <= 122 else 26 + x if x else 0
+        if x or s[-1]:
+            s.append(x)
+    s = [0, *s[1:], 0] if s[-1] else [*s, 0]
+    total = np.zeros(language.DIMENSIONS)
+    for a, b, c in zip(s, s[1:], s[2:]):
+        if b:
+            total += language.letter_vector(a) * np.roll(language.letter_vector(b), 1).astype(int) * np.roll(language.letter_vector(c), 2)
+    return total
+
+
+@pytest.mark.parametrize("text", ["The cat, the DOG", "é\u00e8\u00f1 ßx", "  привет мир ", "γεια σου", "日本語 text 𐐀𐐨", "a"])
+def test_bundles(text):
+    assert np.array_equal(language.bundle(text), plain_bundle(text))
+
+
+def test_languages_of_other_scripts(spark):
+    """Two languages of one script, and of two scripts, none of them with a letter of a-z."""
+    words = {"ru": "это не так как было все что они еще нет".split(), "uk": "це не так як було все що вони ще немає їх".split(), "el": "και το να είναι με για που δεν από".split(), "ja": "これ それ です ます から まで ない ある".split()}
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(words[k], 30)), k) for i, k in enumerate(list(words) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs.where("doc_id >= 60"), language.prototypes(docs.where("doc_id < 60"))).collect()
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.95
+
+
+def test_retrieval_is_complete():
+    """Every piece that reaches its share of its full score in a passage is retrieved, whatever the blocks and pivots pass over."""
+    rng = np.random.default_rng(4)
+    word = [f"w{int(x)}" for x in rng.zipf(1.3, 20_000) if x < 3000]
+    items = [(i, " ".join(rng.choice(word, rng.integers(3, 150)))) for i in range(400)]
+    index = decontamination.Index(items)
+    assert len(index.least) > 5
+    texts = [" ".join([*rng.choice(word, 60), *items[k][1].split()[: 20 + k % 80], *rng.choice(word, 90)]) for k in range(0, 400, 9)]
+    flat = index.numbered([decontamination.words_of(x) for x in texts])
+    want = {}
+    for t, f in enumerate(flat):
+        for at in range(0, len(f), decontamination.PIECE):
+            own = set(f[at : at + 2 * decontamination.PIECE].tolist()) - {-1}
+            for p in range(len(index.owner)):
+                score = sum(x for k, x in zip(index.own_terms[p].tolist(), index.own_impacts[p].tolist()) if k in own and k >= 0)
+                if score >= index.threshold[p]:
+                    key = (t, int(index.owner[p]))
+                    want[key] = max(want.get(key, 0), score)
+    got = index.retrieve(flat)
+    assert got.keys() == want.keys() and want and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_search_edges(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "the cat sat on the mat today"), (3, "the cat sat on the mat today"), (3, "the cat sat on the mat today")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "the cat sat on the mat today", "x"), (8, None, "x"), (9, "", "x"), (None, "no such words at all here", "x")], "item_id long, text string, doc_id string")
+    assert sorted((str(r.doc_id), r.item_id) for r in decontamination.search(docs, items).collect()) == [("3", 7), ("3", 7), ("None", 7)]
+    assert decontamination.search(docs.where("1 = 0"), items).collect() == [] and decontamination.search(docs, items.where("1 = 0")).collect() == []
+    assert decontamination.clean(docs, items.where("1 = 0")).count() == 5
+
+
+def test_vocabularies_that_are_refused():
+    import json
+
+    word = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "x", "id": 1, "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            word_codec.Words(json.dumps(word | change))
+    for change in ({"dropout": 0.1}, {"vocab": word["model"]["vocab"] | {"zz": 1 << 17}}, {"type": "Unigram"}):
+        with pytest.raises(ValueError):
+            bpe.Merger(json.dumps(word | {"model": word["model"] | change}))
+    with pytest.raises(ValueError):
+        token_counts.whole_tokens(json.dumps(word))
+
+
+def test_decode_of_nulls(spark):
+    rows = spark.createDataFrame([(1, None), (None, b"")], "doc_id long, ids binary")
+    assert sorted((str(r.doc_id), r.text) for r in word_codec.decode(rows, public_tokenizers.path("word_bpe_49k.json")).collect()) == [("1", ""), ("None", "")]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from chunkloom.llm import common
+
+    root = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    with common.scratch():
+        kept, gone = (common.materialise(spark.range(3), n) for n in ("kept-table", "gone-table"))
+        with common.scratch():
+            inner = common.outlive(common.materialise(spark.range(4), "inner-table"))
+        common.outlive(kept)
+        assert gone.count() + inner.count() == 7
+    assert {n.split("-")[0] for n in set(os.listdir(root)) - before} == {"kept"} and kept.count() == 3
+
+
+def test_hot_group_is_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 7)
+    rows = [(i, "Same text") for i in range(100)] + [(200, "other"), (201, "OTHER"), (202, "alone"), (None, "same TEXT")]
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(99, 101), (201, 2), (202, 1)} and sum(r.kept for r in got) == 3
