@@ -13,8 +13,20 @@ from chunkloom.functions import text as T
 LEAVES, PARENT_BASE = 4, 1_000_000_000
 
 
+#: Bytes a core below which a table of fewer files than cores is dealt out anew: Spark reads such files in fewer tasks than there are cores.
+SMALL_SHARE = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few files, dealt to all cores; others as they are (a large table has files or splits enough and isn't shuffled)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL_SHARE and len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in ("documents", "pages", "conversations") else df  # texts, which are worked on row by row
 
 
 def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

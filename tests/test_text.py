@@ -43,21 +43,45 @@ def test_parse(spark):
     assert [one(spark, V.parse(F.lit(x).cast("string"))) for x in ("[1, 2.5]", "", "{}", None)] == [[1.0, 2.5], [], [], []]
 
 
-def test_rewrites():
-    got = U.understand("扫地机器人支持什么语音助手")
+def understood(spark, *questions):
+    rows = spark.createDataFrame(list(enumerate(questions)), "i int, question string")
+    return [r.intent.asDict(True) for r in U.with_intent(rows).orderBy("i").collect()]
+
+
+def test_rewrites(spark):
+    got, chatty, none, blank = understood(spark, "扫地机器人支持什么语音助手", "我家里有小爱同学，不知道可以控扫地机器人吗", None, "  ")
     assert got["question_type"] == "list" and got["relation"] == "支持"
     forms = [(f["text"], f["weight"]) for f in got["forms"]]
     assert forms[:3] == [("扫地机器人支持什么语音助手", 1.0), ("扫地机器人 支持 语音助手", 0.96), ("扫地机器人 语音助手", 0.86)]
     assert {t for t, w in forms if w == 0.72} == {f"扫地机器人 {a} 语音助手" for a in ("兼容", "适用", "能用", "可以用")}
     assert forms[-1] == ("扫地机器人 语音助手 列表", 0.59) and len(forms) == 8
-    chatty = " ".join(f["text"] for f in U.understand("我家里有小爱同学，不知道可以控扫地机器人吗")["forms"])
-    assert "小爱同学" in chatty and "扫地机器人" in chatty
-    assert U.understand(None)["forms"] == [] and U.understand("  ")["question_type"] == "fact"
+    said = " ".join(f["text"] for f in chatty["forms"])
+    assert "小爱同学" in said and "扫地机器人" in said
+    assert none["forms"] == [] and blank["question_type"] == "fact" and blank["normalized_query"] == ""
+
+
+def test_terms_of_all_types(spark):
+    """One question of each type: its terms in order, its relation, its two sides."""
+    got = understood(spark, "多久清理一次主刷", "如何添加自定义地图", "APP支持哪些语言", "设备是否兼容天猫精灵吗？", "主刷寿命")
+    assert [g["question_type"] for g in got] == ["frequency", "how_to", "list", "yes_no", "fact"]
+    assert [g["relation"] for g in got] == ["", "设置", "支持", "支持", ""]
+    assert got[0]["focus_terms"] == ["清理一次主刷", "一次主刷"] and got[4]["focus_terms"] == ["主刷寿命"]
+    assert got[1]["focus_terms"][:4] == ["添加自定义地图", "自定义地图", "添加地图", "地图"]
+    assert got[2]["subject_terms"] == ["app"] and got[2]["object_terms"] == ["语言"]
+    assert got[3]["object_terms"] == ["天猫精灵"]
+
+
+def test_each_relation(spark):
+    """The longest alias of the first relation with one, in the order of the table."""
+    for name, aliases in U.RELATIONS.items():
+        first = {a: next(n for n, words in U.RELATIONS.items() if any(w in a for w in words)) for a in aliases}
+        got = understood(spark, *[f"甲乙丙{a}丁戊己" for a in aliases])
+        assert [g["relation"] for g in got] == [first[a] for a in aliases] and name in first.values()
 
 
 @pytest.mark.parametrize("question, kind", [("多久清理一次", "frequency"), ("如何添加设备", "how_to"), ("有哪些功能", "list"), ("支持吗", "yes_no"), ("Is it?", "yes_no"), ("reset button", "fact")])
-def test_types(question, kind):
-    assert U.question_type(question) == kind
+def test_types(spark, question, kind):
+    assert one(spark, U.question_type(T.compact(F.lit(question)))) == kind
 
 
 D1, D2, D3 = "本产品支持小爱同学、天猫精灵和 Google Assistant 等语音助手。", "维护保养时请定期清理主刷和边刷。", "扫地机器人和吸尘器怎么选？"
