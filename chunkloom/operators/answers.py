@@ -84,6 +84,35 @@ def decision_path(strict: bool = True) -> Column:
     return path.when(F.col("weak"), "llm_weak_evidence").when(F.col("conflict"), "llm_with_conflict").otherwise("llm_generate")
 
 
+def instruction_state(strict: Column | bool = True) -> Column:
+    """Which instruction an answer gets, from context and weak of `verdicts`: grounded, weak_strict, weak_open, none_strict or none_open."""
+    strict = F.lit(strict) if isinstance(strict, bool) else strict
+    kind = F.when(T.strip(F.coalesce(F.col("context"), F.lit(""))) == "", "none").when(F.col("weak"), "weak").otherwise("grounded")
+    return F.when(kind == "grounded", kind).otherwise(F.concat(kind, F.when(strict, F.lit("_strict")).otherwise(F.lit("_open"))))
+
+
+#: What the instructions say, by state, by question type and for several sources; callers may hand in wordings of their own.
+WORDING = {
+    "grounded": "Answer from the passages only and cite them as [1][2].", "weak_strict": "The passages hardly bear on the question: say so, list what may help as reference only, conclude nothing.",
+    "weak_open": "The passages hardly bear on the question: say so, list what may help, mark what you add as not from the knowledge base.", "none_strict": "Nothing was found: say so, invent nothing, cite nothing.",
+    "none_open": "Nothing was found: say so first, mark what you add as not from the knowledge base, cite nothing.",
+    "yes_no": "First a plain yes or no, then the ground for it, then limits.", "list": "A summarising sentence, then numbered items of one line each.", "how_to": "The aim in a sentence, then numbered steps of one action each.",
+    "frequency": "First how often, then the ground for it.", "fact": "First the fact, then details.", "several": "Merge the sources, say each thing once, name contradictions.",
+}
+
+
+def instructions(judged: DataFrame, strict: bool = True, wording: dict[str, str] | None = None) -> DataFrame:
+    """judged(question_id, intent, context, weak, n_sources) -> question_id, state, style, several, instruction: state, then style by question type, then several sources.
+
+    A question without context that must not be answered freely gets neither style nor a word on sources; only grounded answers are told of several sources.
+    """
+    said = F.create_map(*[F.lit(x) for pair in (wording or WORDING).items() for x in pair])
+    parts = judged.select("question_id", instruction_state(strict).alias("state"), F.col("intent.question_type").alias("type"), F.coalesce("n_sources", F.lit(0)).alias("n"))
+    parts = parts.withColumn("style", F.when(F.col("state") == "none_strict", "").otherwise(F.col("type"))).withColumn("several", (F.col("state") == "grounded") & (F.col("n") >= 2))
+    text = F.concat_ws("\n", F.try_element_at(said, F.col("state")), F.try_element_at(said, F.col("style")), F.when(F.col("several"), F.try_element_at(said, F.lit("several"))))
+    return parts.select("question_id", "state", "style", "several", text.alias("instruction"))
+
+
 def snippet(intent: Column, text: Column) -> Column:
     """The first line that holds a focus term (terms in order), else the first line; 220 characters."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), T.strip), lambda s: s != "")

@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.functions import text as T
 from chunkloom.functions import vectors as V
 from chunkloom.operators.ranking import few, ranked, vector_scores
 
@@ -37,6 +38,17 @@ def exact(questions: DataFrame, vectors: DataFrame, k: int, scope: tuple[str, ..
     return ranked(vector_scores(questions, vectors, scope), ["question_id"], _order(), k)
 
 
+def guarded(questions: DataFrame, near: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
+    """near: each question's first 2k hits; they stand if one of them shares a token with the question, else the first k with a positive score do.
+
+    tokens(chunk_id, tokens): token sets of the chunks. A question without text is not guarded.
+    """
+    asked = questions.select("question_id", T.token_set("question").alias("asked"))
+    shown = near.where(F.col("rank") <= 2 * k).join(few(asked), "question_id").join(tokens, "chunk_id")
+    met = shown.groupBy("question_id").agg(F.max(F.arrays_overlap("asked", "tokens").cast("int")).alias("met"))
+    return near.join(met, "question_id").where((F.col("rank") <= 2 * k) & ((F.col("met") == 1) | ((F.col("rank") <= k) & (F.col("vector_score") > 0)))).select(*near.columns)
+
+
 class InvertedLists:
     """Vectors partitioned by their nearest centroid. Fitted on at most TRAIN_ROWS vectors; every vector is listed."""
 

@@ -17,11 +17,17 @@ VECTOR_SHARE, KEYWORD_SHARE = 0.65, 0.35
 HALF_UP = 1e-9
 #: Questions (rows of a question table) that may be broadcast; a larger table joins by shuffle.
 BROADCAST_QUESTIONS = 20_000
+#: Terms of all questions together (rows of some 60 bytes) that may be broadcast.
+BROADCAST_TERMS = 1_000_000
+
+
+def are_few(questions: DataFrame, most: int = BROADCAST_QUESTIONS) -> bool:
+    return questions.limit(most + 1).count() <= most
 
 
 def few(questions: DataFrame) -> DataFrame:
     """A hint to broadcast the questions, given only if they are proven few."""
-    return F.broadcast(questions) if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else questions
+    return F.broadcast(questions) if are_few(questions) else questions
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -50,18 +56,23 @@ def bm25(chunks: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), text:
     """question_id, chunk_id, chunk_index, keyword_score > 0. Statistics are those of the chunks given, or of each scope of them.
 
     terms(question_id, term, weight) may carry the scope columns; then a question meets its own scope only.
+    The texts' terms are cut down to the asked ones where they are read; what is left is placed by chunk once, and counting,
+    document frequencies and the sums of questions' scores all start from that one exchange.
     """
     keys = (*scope, "chunk_id", "chunk_index")
-    posted = postings(chunks, text, keys)
-    whole = chunks.select(*scope, F.size(T.term_bag(text)).alias("dl")).where("dl > 0").groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    asked = terms.select("term").distinct()
-    met = posted.join(few(asked), "term", "left_semi")
+    hint = F.broadcast if are_few(terms, BROADCAST_TERMS) else lambda x: x
+    asked = terms.select(*[c for c in scope if c in terms.columns], "term").distinct()
+    bags = chunks.select(*keys, T.term_bag(text).alias("bag")).withColumn("dl", F.size("bag"))
+    whole = bags.where("dl > 0").groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
+    placed = bags.select(*keys, "dl", F.explode("bag").alias("term")).join(hint(asked), asked.columns, "left_semi").repartition("chunk_id")
+    met = placed.groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = met.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     stats = df.join(F.broadcast(whole), list(scope)) if scope else df.crossJoin(F.broadcast(whole))  # one row for each scope
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    weight = F.col("weight") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = met.join(stats, [*scope, "term"]).join(few(terms), [*scope, "term"])
-    total = scored.groupBy("question_id", "chunk_id", "chunk_index").agg(F.round(F.sum(weight * share), 6).alias("keyword_score"))
+    stats = stats.select(*scope, "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    rated = met.join(stats if scope else hint(stats), [*scope, "term"]).select(*keys, "term", share.alias("share"))  # one row for each asked term at most
+    scored = rated.join(hint(terms), [*scope, "term"])
+    total = scored.groupBy("question_id", "chunk_id", "chunk_index").agg(F.round(F.sum(F.col("weight") * F.col("share")), 6).alias("keyword_score"))
     return total.where("keyword_score > 0")
 
 

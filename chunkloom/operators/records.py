@@ -100,3 +100,15 @@ def chat_history(messages: DataFrame, preview: int | None = None) -> DataFrame:
 def without_document(rows: DataFrame, removed: DataFrame, key: str = "document_id") -> DataFrame:
     """Rows of documents that are not removed (a delete with its cascade is this, written over)."""
     return rows.join(removed.select(key), key, "left_anti")
+
+
+def has_rows(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """keys with in_use: whether any row has the key (what is in use may not be deleted). Each key is looked up once, whatever its number of rows."""
+    held = rows.select(key).distinct().withColumn("in_use", F.lit(True))
+    return keys.join(held, key, "left").withColumn("in_use", F.coalesce("in_use", F.lit(False)))
+
+
+def owned(wanted: DataFrame, rows: DataFrame, key: str, owner: str) -> DataFrame:
+    """wanted(key, owner) with the row of that key if it is the owner's, and status 200, or 404 where there is none."""
+    found = rows.withColumn("status", F.lit(200))
+    return wanted.join(found, [key, owner], "left").withColumn("status", F.coalesce("status", F.lit(404)))

@@ -190,6 +190,19 @@ def payload_fields(spark, d):
     return S.runs(spark, d).where("payload is not null").select("step_id", F.from_json("payload", "k bigint").k.alias("k"))
 
 
+@query("q_users_in_use", "SELECT c_custkey AS run_id, c_custkey IN (SELECT user_id FROM events) AS in_use FROM customer")
+def users_in_use(spark, d):
+    """Customers with runs may not be deleted."""
+    return D.has_rows(S.table(spark, d, "customer").select(F.col("c_custkey").alias("run_id")), S.runs(spark, d), "run_id")
+
+
+@query("q_owned_documents", _with(DOCUMENTS) + "SELECT w.doc_id AS id, w.doc_id % 20 AS user_id, name, CASE WHEN kd.id IS NULL THEN 404 ELSE 200 END AS status FROM documents w LEFT JOIN kd ON kd.id = w.doc_id AND kd.user_id = w.doc_id % 20")
+def owned_documents(spark, d):
+    """Each document asked for by one user: the owner gets it, others a 404."""
+    held = S.knowledge_documents(spark, d).select("id", F.col("user_id").cast("long").alias("user_id"), "name")
+    return D.owned(S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 20).alias("user_id")), held, "id", "user_id")
+
+
 @query("q_document_delete", _with(LEAVES) + "SELECT chunk_id, document_id FROM leaves WHERE document_id NOT IN (SELECT doc_id // 4 FROM documents WHERE n_chars < 200)")
 def document_delete(spark, d):
     leaves = S.leaves(spark, d).select("chunk_id", "document_id", "content")
@@ -271,7 +284,14 @@ def md_blocks(spark, d):
     return blocks.select("o_custkey", "block", "kind", F.size(F.split("text", "\n")).alias("n_lines"))
 
 
-@query("q_long_unit_pack")
+NORMAL = r"regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("q_long_unit_pack", f"""WITH n AS (SELECT doc_id, {NORMAL} AS text FROM documents), s AS (SELECT doc_id, text, {SENTENCES} AS u FROM n),
+p AS (SELECT doc_id, CASE WHEN text = '' THEN [] WHEN length(text) <= 500 THEN [text]
+  WHEN len(u) = 1 THEN list_filter(list_transform(range(0, length(text), 500), lambda i: trim(substr(text, CAST(i + 1 AS BIGINT), 500))), lambda x: x <> '')
+  ELSE string_split(list_reduce(u, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 1 + length(x) > 500 THEN a || chr(1) || x ELSE a || ' ' || x END), chr(1)) END AS parts FROM s)
+SELECT doc_id, CAST(unnest(range(len(parts))) AS INTEGER) AS piece, unnest(parts) AS content FROM p""")
 def long_unit_pack(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.posexplode(C.long_unit(F.col("text"), 500)).alias("piece", "content"))
 
@@ -345,6 +365,17 @@ def _of_users(rows: DataFrame) -> DataFrame:
     return rows.withColumn("user_id", F.col("question_id") % 3)
 
 
+@query("q_guarded_topk", _with(LEAVES, VECTORS) + """, r AS (SELECT question_id, chunk_id, vector_score, row_number() OVER (PARTITION BY question_id ORDER BY vector_score DESC, chunk_id DESC) AS rank FROM vs),
+t AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS own FROM leaves), q AS (SELECT item_id AS question_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS asked FROM benchmark),
+m AS (SELECT question_id, bool_or(list_has_any(own, asked)) AS met FROM r JOIN t USING (chunk_id) JOIN q USING (question_id) WHERE rank <= 10 GROUP BY 1)
+SELECT question_id, chunk_id, vector_score, CAST(rank AS INTEGER) AS rank FROM r JOIN m USING (question_id) WHERE rank <= 10 AND (met OR (rank <= 5 AND vector_score > 0))""")
+def guarded_topk(spark, d):
+    """Twice as many vector hits if their words speak for them, else the exact scan's."""
+    leaves, asked = S.leaves(spark, d), S.questions(spark, d)
+    near = N.exact(asked, S.leaf_vectors(spark, d).join(leaves.select("chunk_id"), "chunk_id"), 10).select("question_id", "chunk_id", "vector_score", "rank")
+    return N.guarded(asked, near, leaves.select("chunk_id", T.token_set("content").alias("tokens")), 5)
+
+
 @query("q_ivf_topk")
 def ivf_topk(spark, d):
     index = N.InvertedLists(S.leaf_vectors(spark, d), n_lists=16)
@@ -493,7 +524,13 @@ def _shown(spark, d):
     return _hybrid(spark, d).select("question_id", "chunk_id", "rank", F.col("final_score").alias("score")).join(S.leaves(spark, d), "chunk_id")
 
 
-@query("q_context_blocks")
+@query("q_context_blocks", _with(LEAVES, KEYWORDS, VECTORS, HYBRID, SHOWN) + f""", b AS (
+SELECT question_id, rank, '[' || rank || '] ' || document_name || ' | 第' || source_page || '页' || CASE WHEN ({SECTION}) = '' THEN '' ELSE ' | 章节：' || ({SECTION}) END || ' | 相关度:' || printf('%.2f', score) AS header,
+  regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS body FROM shown),
+c AS (SELECT question_id, rank, header, CASE WHEN length(body) > 2000 THEN left(body, 1000) || chr(10) || '...[内容过长已截断]...' || chr(10) || right(body, 1000) ELSE body END AS content FROM b),
+d AS (SELECT *, sum(length(header) + 1 + length(content)) OVER (PARTITION BY question_id ORDER BY rank) AS after FROM c),
+e AS (SELECT *, coalesce(max(CASE WHEN after > 12000 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broken, 12000 - (after - (length(header) + 1 + length(content))) AS rest FROM d)
+SELECT question_id, CAST(rank AS INTEGER) AS rank, header, CASE WHEN after > 12000 THEN substr(content, 1, CAST(rest AS BIGINT)) ELSE content END AS content FROM e WHERE broken = 0 AND (after <= 12000 OR rest > 200)""")
 def context_blocks(spark, d):
     return A.context_blocks(_shown(spark, d))
 
@@ -518,6 +555,17 @@ def answer_citations(spark, d):
     return A.complete_citations(asked, lines)
 
 
+@query("q_instructions", _with(LEAVES, KEYWORDS, VECTORS, HYBRID) + """, t AS (SELECT question_id, max(final_score) AS top, count(*) AS n FROM hy GROUP BY 1),
+s AS (SELECT item_id AS question_id, CASE WHEN t.n IS NULL THEN 'none_strict' WHEN top < 0.55 THEN 'weak_strict' ELSE 'grounded' END AS state, CASE WHEN regexp_replace(text, '\\s+$', '') LIKE '%?' THEN 'yes_no' ELSE 'fact' END AS kind, n FROM benchmark LEFT JOIN t ON question_id = item_id)
+SELECT question_id, state, CASE WHEN state = 'none_strict' THEN '' ELSE kind END AS style, state = 'grounded' AND coalesce(n, 0) >= 2 AS several FROM s""")
+def instructions(spark, d):
+    """What each question's answer is to be told, by the state of its evidence and its type."""
+    hits = _shown(spark, d)
+    contexts = A.context(A.context_blocks(hits)).join(hits.groupBy("question_id").agg(F.max("score").alias("top_score"), F.count(F.lit(1)).alias("n_sources")), "question_id")
+    judged = A.verdicts(U.with_intent(S.questions(spark, d).select("question_id", "question")), contexts)
+    return A.instructions(judged).drop("instruction")
+
+
 @query("q_decision_path")
 def decision_path(spark, d):
     questions = U.with_intent(S.questions(spark, d).select("question_id", "question"))

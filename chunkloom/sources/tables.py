@@ -20,7 +20,7 @@ SMALL_SHARE = 16 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small table of few files, dealt to all cores; others as they are (a large table has files or splits enough and isn't shuffled)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL_SHARE and len(df.inputFiles()) < cores else df
 
 
