@@ -296,7 +296,23 @@ def long_unit_pack(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.posexplode(C.long_unit(F.col("text"), 500)).alias("piece", "content"))
 
 
-@query("q_heuristic_chunks")
+def _sentences_of(x: str) -> str:
+    return SENTENCES.replace("regexp_extract_all(text,", f"regexp_extract_all({x},")
+
+
+TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+#: A chunk's end that the next one repeats: whole sentences from the last until 80 characters are reached.
+TAIL = f"""list_transform([{_sentences_of('n')}], lambda s: CASE WHEN length(n) <= 80 THEN n WHEN len(s) <= 1 THEN {TRIM.format(x='right(n, 80)')}
+  ELSE array_to_string(s[len(s) - coalesce(list_filter(range(1, len(s) + 1), lambda k: list_sum(list_transform(s[len(s) - k + 1 :], lambda y: length(y))) >= 80)[1], len(s)) + 1 :], ' ') END)[1]"""
+HEURISTIC = f"""l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM.format(x='x')}), lambda x: x <> '') AS lines FROM documents),
+u AS (SELECT doc_id, flatten(list_transform(lines, lambda v: CASE WHEN length(v) <= 500 THEN [v] ELSE list_transform([{_sentences_of('v')}], lambda s: CASE
+  WHEN len(s) = 1 THEN list_filter(list_transform(range(0, length(v), 500), lambda i: trim(substr(v, CAST(i + 1 AS BIGINT), 500))), lambda x: x <> '')
+  ELSE string_split(list_reduce(s, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 1 + length(x) > 500 THEN a || chr(1) || x ELSE a || ' ' || x END), chr(1)) END)[1] END)) AS units FROM l),
+h AS (SELECT doc_id, string_split(list_reduce(units, lambda a, x: list_transform([string_split(a, chr(1))[-1]], lambda n: CASE WHEN length(n) + 2 + length(x) > 500 AND length(n) >= 120
+  THEN a || chr(1) || list_transform([{TAIL}], lambda t: CASE WHEN t = '' THEN '' ELSE t || chr(10) || chr(10) END)[1] || x ELSE a || chr(10) || chr(10) || x END)[1]), chr(1)) AS parts FROM u WHERE len(units) > 0)"""
+
+
+@query("q_heuristic_chunks", _with(HEURISTIC) + "SELECT doc_id, CAST(unnest(range(len(parts))) AS INTEGER) AS piece, unnest(parts) AS content FROM h")
 def heuristic_chunks(spark, d):
     spaced = F.regexp_replace("text", "\n", "\n\n")
     return S.table(spark, d, "documents").select("doc_id", F.posexplode(C.heuristic_chunks(spaced, 500, 80)).alias("piece", "content"))
@@ -627,8 +643,8 @@ def index_facts(spark, d):
 # Evaluation
 
 EXPECTED = """lt AS (SELECT chunk_id, ' ' || array_to_string(regexp_extract_all(lower(content), '[a-z0-9]+'), ' ') || ' ' AS t FROM leaves),
-ql AS (SELECT item_id AS question_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:8] AS g FROM benchmark),
-ex AS (SELECT question_id, chunk_id FROM ql JOIN lt ON len(g) = 8 AND contains(t, ' ' || array_to_string(g, ' ') || ' ')),
+ql AS (SELECT item_id AS question_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS g FROM benchmark),
+ex AS (SELECT question_id, chunk_id FROM ql JOIN lt ON len(g) > 0 AND contains(t, ' ' || array_to_string(g, ' ') || ' ')),
 top AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_index DESC, chunk_id DESC) AS r FROM kw QUALIFY r <= 10),
 ne AS (SELECT question_id, count(*) AS n FROM ex GROUP BY 1),
 hit AS (SELECT question_id, count(*) FILTER (r <= 5) AS h5, count(*) AS h10, min(r) AS best FROM ex JOIN top USING (question_id, chunk_id) GROUP BY 1),
@@ -638,12 +654,16 @@ per AS (SELECT q.question_id, CASE WHEN n IS NULL THEN 'out_of_scope' ELSE 'know
 
 
 def expected(spark, d):
-    """Chunks that hold the first eight words of a question in a row, found by an equi-join on eight-word runs."""
-    words = T.latin_tokens("question")
-    asked = S.questions(spark, d).select("question_id", F.when(F.size(words) >= 8, F.array_join(F.slice(words, 1, 8), " ")).alias("g")).where("g is not null")
-    own = S.leaves(spark, d).select("chunk_id", T.latin_tokens("content").alias("w")).where("size(w) >= 8")
-    runs = own.select("chunk_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("g"))
-    return runs.join(R.few(asked), "g").select("question_id", "chunk_id").distinct()
+    """Chunks that hold all words of a question in a row: found by an equi-join on its first words (eight, or all of a shorter one), then held against the whole."""
+    lead, padded = 8, lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    asked = S.questions(spark, d).select("question_id", T.latin_tokens("question").alias("q")).where("size(q) > 0")
+    asked = asked.select("question_id", F.least(F.size("q"), F.lit(lead)).alias("m"), F.array_join(F.slice("q", 1, lead), " ").alias("g"), padded(F.col("q")).alias("whole"))
+    lengths = asked.select("m").distinct().agg(F.collect_set("m").alias("lengths"))  # eight numbers at most
+    words = S.leaves(spark, d).select("chunk_id", T.latin_tokens("content").alias("w"))
+    own = words.crossJoin(F.broadcast(lengths)).withColumn("m", F.explode("lengths")).where("size(w) >= m")
+    runs = own.select("chunk_id", "m", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1), lambda i: F.array_join(F.slice("w", i, F.col("m")), " ")))).alias("g"))
+    met = runs.join(R.few(asked), ["m", "g"]).select("question_id", "chunk_id", "whole")
+    return met.join(words, "chunk_id").where(F.contains(padded(F.col("w")), F.col("whole"))).select("question_id", "chunk_id").distinct()
 
 
 def _evaluated(spark, d, scorer=None):
