@@ -151,3 +151,43 @@ def test_runs(spark):
     got = D.fail_open_steps(steps, spark.createDataFrame([(1,)], "run_id long")).orderBy("step_id")
     assert [r.status for r in got.collect()] == ["failed", "completed", "running"]
     assert one(spark, D.progress(F.lit("embedding"), F.lit(5), F.lit(10))) == 60 and one(spark, D.progress(F.lit("upload_failed"), F.lit(5), F.lit(10))) is None
+
+
+def test_guarded_search(spark):
+    """Hits whose words speak for them stand, twice as many; else the first k with a positive score."""
+    asked = spark.createDataFrame([(1, "reset button"), (2, "voice"), (3, "")], "question_id long, question string")
+    near = spark.createDataFrame([(q, q * 10 + i, s, i) for q in (1, 2, 3) for i, s in ((1, 0.9), (2, 0.5), (3, -0.1), (4, -0.2), (5, -0.3))], "question_id long, chunk_id long, vector_score double, rank int")
+    tokens = spark.createDataFrame([(q * 10 + i, ["press", "reset"] if q == 1 and i == 3 else ["other"]) for q in (1, 2, 3) for i in range(1, 6)], "chunk_id long, tokens array<string>")
+    got = sorted((r.question_id, r["rank"]) for r in N.guarded(asked, near, tokens, 2).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (3, 1), (3, 2)]
+
+
+def test_instructions(spark):
+    """Every state of evidence with every question type, strict and free."""
+    kinds = ["yes_no", "list", "how_to", "frequency", "fact"]
+    rows = [(f"{k}-{c}", (k,), text, weak, n) for k in kinds for c, text, weak, n in (("grounded", "x", False, 3), ("weak", "x", True, 3), ("none", " ", True, None))]
+    judged = spark.createDataFrame(rows, "question_id string, intent struct<question_type:string>, context string, weak boolean, n_sources long")
+    for strict in (True, False):
+        for r in A.instructions(judged, strict).collect():
+            kind, state = r.question_id.split("-")
+            want = state if state == "grounded" else f"{state}_{'strict' if strict else 'open'}"
+            assert r.state == want and r.style == ("" if want == "none_strict" else kind) and r.several == (want == "grounded")
+            assert r.instruction.split("\n") == [A.WORDING[x] for x in (want, r.style, "several" if r.several else "") if x]
+
+
+def test_probe_and_owner(spark):
+    keys = spark.createDataFrame([(1, 5), (2, 5), (None, 5)], "id long, user_id long")
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (2, 6, "c")], "id long, user_id long, name string")
+    assert sorted((str(r.id), r.in_use) for r in D.has_rows(keys, rows, "id").collect()) == [("1", True), ("2", True), ("None", False)]
+    assert sorted((str(r.id), r.name or "", r.status) for r in D.owned(keys, rows, "id", "user_id").collect()) == [("1", "a", 200), ("1", "b", 200), ("2", "", 404), ("None", "", 404)]
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
+    from chunkloom.sources import tables
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    assert tables.spread(one).count() == 100 and "RoundRobin" in tables.spread(one)._jdf.queryExecution().toString()
+    spark.range(100).repartition(16).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert tables.spread(many) is many
