@@ -90,15 +90,20 @@ def share_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     return base
 
 
+#: Rows of an Arrow batch that a step works on at once.
+SLICE_ROWS = 2_000
+
+
 def map_rows(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with set-up per task: work() is called once in each task, its result once per batch."""
+    """mapInArrow with set-up per task: work() is called once in each task, its result once for every SLICE_ROWS of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
         for batch in batches:
-            out = step(batch)
-            if out is not None:
-                yield out
+            for at in range(0, max(batch.num_rows, 1), SLICE_ROWS):  # Python's copies of texts and results stay small beside Arrow's
+                out = step(batch.slice(at, SLICE_ROWS))
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

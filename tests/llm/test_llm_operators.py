@@ -537,7 +537,8 @@ def test_vocabularies_that_are_refused():
     word = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "x", "id": 1, "lstrip": True}]}):
         with pytest.raises(ValueError):
-            word_codec.Words(json.dumps(word | change))
+            bpe.expect(json.dumps(word | change), normalizer=word_codec.NORMALIZER, pre_tokenizer=word_codec.PRE_TOKENIZER)
+            bpe.special_tokens(json.dumps(word | change))
     for change in ({"dropout": 0.1}, {"vocab": word["model"]["vocab"] | {"zz": 1 << 17}}, {"type": "Unigram"}):
         with pytest.raises(ValueError):
             bpe.Merger(json.dumps(word | {"model": word["model"] | change}))
