@@ -99,11 +99,14 @@ def map_rows(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
-        for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), SLICE_ROWS):  # Python's copies of texts and results stay small beside Arrow's
-                out = step(batch.slice(at, SLICE_ROWS))
-                if out is not None:
-                    yield out
+        try:
+            for batch in batches:
+                for at in range(0, max(batch.num_rows, 1), SLICE_ROWS):  # Python's copies of texts and results stay small beside Arrow's
+                    out = step(batch.slice(at, SLICE_ROWS))
+                    if out is not None:
+                        yield out
+        finally:
+            pa.default_memory_pool().release_unused()  # workers live on from task to task and would hold what Arrow has freed
 
     return df.mapInArrow(run, schema)
 
