@@ -12,6 +12,7 @@ texts are hashed and compared whole; an empty table gives an empty result; colum
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,22 @@ BROADCAST_ROWS = 1_000_000
 SALT_ROWS = 50_000
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, digest: SHA-256 of the text in UTF-8 after lower-casing A-Z."""
+def sha256(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()
+
+
+def digests(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, texts: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, digest of the text in UTF-8 after lower-casing A-Z; with `texts`, that text as normal."""
 
     def work():
         def step(batch):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            out = [hashlib.sha256((t or b"").lower()).digest() for t in texts]  # bytes.lower() touches A-Z only
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "digest"])
+            normal = [(t or b"").lower() for t in batch.column("text").cast(pa.binary()).to_pylist()]  # bytes.lower() touches A-Z only
+            columns = [batch.column("doc_id"), pa.array([digest(t) for t in normal], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(normal, pa.binary()).cast(pa.string())][: 2 + texts], ["doc_id", "digest", "normal"][: 2 + texts])
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, digest binary")
+    return map_rows(docs.select("doc_id", "text"), work, "doc_id long, digest binary" + ", normal string" * texts)
 
 
 def _key(column: pa.ChunkedArray) -> np.ndarray:
@@ -84,23 +89,24 @@ def exact_groups(hashed: DataFrame, n_buckets: int) -> DataFrame:
     return merged.unionByName(alone.select("digest", F.col("top").alias("keep_id"), F.col("n").alias("group_size")))
 
 
-def deduplicate(docs: DataFrame, batches: int = 3) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256, one row per row of docs.
+def deduplicate(docs: DataFrame, batches: int = 3, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256 (the digest in hex), one row per row of docs.
 
     `batches`: the table is taken as so many arrivals (by a hash of doc_id); each is frozen as a snapshot for the later ones.
+    `digest`: at least 8 bytes for a text; texts that share one are told apart by their bytes, however weak it is.
     """
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     with scratch():
-        hashed = outlive(materialise(digests(docs).withColumn("batch", batch), "digests"))
+        hashed = outlive(materialise(digests(docs, digest).withColumn("batch", batch), "digests"))
         n_buckets = max(1, -(-hashed.count() // BUCKET_DIGESTS)) * batches
         groups = outlive(materialise(exact_groups(hashed, n_buckets), "exact"))
         members = materialise(hashed.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size"), "members")
         checked = _byte_checked(docs, members)
         clash = not checked.where("not same").isEmpty()
         if clash:
-            groups = outlive(materialise(_regrouped(docs, checked, groups), "regrouped"))
+            groups = outlive(materialise(_regrouped(digests(docs, digest, texts=True), checked, groups), "regrouped"))
     if clash:
-        keyed = _with_text_key(docs, hashed, groups)
+        keyed = _with_text_key(digests(docs, digest, texts=True), groups)
     else:
         keyed = hashed.join(groups, "digest", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -123,17 +129,16 @@ def _byte_checked(docs: DataFrame, members: DataFrame) -> DataFrame:
     return materialise(texts.join(kept, ["keep_id", "digest", "salt"]).select("digest", (F.col("normal") == F.col("first_normal")).alias("same")), "checked")
 
 
-def _regrouped(docs: DataFrame, checked: DataFrame, groups: DataFrame) -> DataFrame:
+def _regrouped(texts: DataFrame, checked: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups whose digest covers different texts are grouped anew by the text itself (column normal; null elsewhere)."""
     clash = checked.where("not same").select("digest").distinct()
-    texts = docs.select("doc_id", _normal().alias("normal"))
-    again = texts.withColumn("digest", F.unhex(F.sha2("normal", 256))).join(clash, "digest", "left_semi")
+    again = texts.join(clash, "digest", "left_semi")
     again = again.groupBy("digest", "normal").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return groups.join(clash, "digest", "left_anti").withColumn("normal", F.lit(None).cast("string")).unionByName(again, allowMissingColumns=True)
 
 
-def _with_text_key(docs: DataFrame, hashed: DataFrame, groups: DataFrame) -> DataFrame:
-    texts = docs.select("doc_id", _normal().alias("own")).withColumn("digest", F.unhex(F.sha2("own", 256)))
+def _with_text_key(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    texts = texts.withColumnRenamed("normal", "own")
     same = (texts.digest == groups.digest) & (groups.normal.isNull() | (groups.normal == texts.own))
     return texts.join(groups, same, "left").select(texts.doc_id, texts.digest, "keep_id", "group_size")
 

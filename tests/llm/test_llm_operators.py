@@ -115,14 +115,29 @@ def test_exact_groups(docs, texts):
         assert (r.keep_id, r.group_size, r.kept) == (max(own), len(own), r.doc_id == max(own))
 
 
-def test_digest_clash_is_resolved_by_bytes(spark):
-    """Two texts under one digest: the byte check finds it, and the texts themselves are grouped."""
+def test_digest_clash_is_found_by_bytes(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "B")], "doc_id long, text string")
     digest = bytearray(hashlib.sha256(b"a").digest())
-    members = spark.createDataFrame([(1, digest, 3), (2, digest, 3), (3, digest, 3)], "doc_id long, digest binary, keep_id long")
+    members = spark.createDataFrame([(1, digest, 3, 3), (2, digest, 3, 3), (3, digest, 3, 3)], "doc_id long, digest binary, keep_id long, group_size long")
     assert exact_dedup._byte_checked(docs, members).where("not same").count() == 1
 
 
+def test_clashing_digests_change_nothing(spark):
+    """From end to end: with a digest that hardly tells texts apart, groups are those of the texts themselves."""
+
+    def weak_digest(data):
+        return hashlib.sha256(str(len(data) // 3).encode()).digest()
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(list("abAB"), int(rng.integers(0, 9))))) for i in range(300)] + [(400, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = {}
+    for i, x in rows:
+        own.setdefault((x or "").lower(), []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(docs, digest=weak_digest).collect()}
+    assert got == {i: (max(g), len(g), i == max(g)) for i, x in rows for g in [own[(x or "").lower()]]}
+
+
 def brute_components(texts, k):
     sets = {i: near_dedup.shingle_set(near_dedup.words_of(x), k) for i, x in texts.items()}
     root = {i: i for i in sets}
