@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import decontamination, exact_dedup, language, near_dedup, page_text, private_data, quality, repeats, token_counts, word_codec
+from chunkloom.llm import decontamination, exact_dedup, hard_negatives, language, near_dedup, page_text, private_data, quality, repeats, token_counts, word_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.query,
         "op9_token_counts": token_counts.query,
         "op10_repeats": repeats.query,
+        "op12_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op12_hard_negatives": hard_negatives.SQL}
