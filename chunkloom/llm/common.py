@@ -146,3 +146,25 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not in dropped(doc_id). A row without doc_id stays."""
     ids = materialise(dropped.select("doc_id").where("doc_id is not null").distinct(), "dropped")
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: Rows of one group that one task joins; a larger group is dealt to as many tasks as it needs.
+SPLIT_ROWS = 2_000
+#: Groups that may be split: the share of the rows from which a group counts as large follows from it, so their list is bounded.
+SPLIT_GROUPS = 20_000
+
+
+def join_split(rows: DataFrame, groups: DataFrame, keys: list[str], deal: list[str], n_rows: int) -> DataFrame:
+    """rows joined with groups(keys, n = rows of the group among the rows, ...) by keys; rows of a large group are dealt by a hash of `deal`.
+
+    Both are tables; n_rows: all rows. At most SPLIT_GROUPS groups are large; their keys are broadcast, and they are repeated for each part.
+    """
+    most = max(SPLIT_ROWS, n_rows // SPLIT_GROUPS)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    large = groups.where(F.col("n") > most).select(*keys, parts.alias("_parts"))
+    if large.isEmpty():
+        return rows.join(groups, keys)
+    part = F.coalesce(F.pmod(F.xxhash64(*deal), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(large), keys, "left").withColumn("_part", part).drop("_parts")
+    repeated = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, parts - 1).otherwise(0))))
+    return dealt.join(repeated, [*keys, "_part"]).drop("_part")

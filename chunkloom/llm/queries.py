@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import decontamination, divergence, exact_dedup, hard_negatives, language, near_dedup, page_text, private_data, quality, repeats, token_counts, word_codec
+from chunkloom.llm import decontamination, divergence, exact_dedup, hard_negatives, language, near_dedup, page_text, passages, private_data, quality, repeats, token_counts, word_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_repeats": repeats.query,
         "op11_divergence": divergence.query,
         "op12_hard_negatives": hard_negatives.query,
+        "op13_passages": passages.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op11_divergence": divergence.SQL, "op12_hard_negatives": hard_negatives.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op11_divergence": divergence.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_passages": passages.SQL}
