@@ -1,26 +1,16 @@
-"""Nearest vectors: exact scan, and inverted lists behind k-means centroids."""
+"""Nearest vectors: the exact scan, the choice of an index, a guard of its hits, and recall. `vector_index` holds the index itself."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.functions import text as T
-from chunkloom.functions import vectors as V
-from chunkloom.operators.ranking import few, ranked, vector_scores
+from chunkloom.operators.blocked import top_hits
+from chunkloom.operators.ranking import few
 
 #: Vectors up to which an exact scan is chosen, and from which lists number 1024.
 FLAT_BELOW, LARGE_FROM = 10_000, 200_000
-PROBES = 16
-#: Vectors that the centroids are fitted on.
-TRAIN_ROWS = 200_000
-
-
-def _order():
-    return [F.desc("vector_score"), F.desc("chunk_id")]
-
 
 def choose(n: int, kind: str = "auto") -> str:
     """Index type for n vectors; unknown types are flat."""
@@ -35,7 +25,7 @@ def lists_for(n: int) -> int:
 
 def exact(questions: DataFrame, vectors: DataFrame, k: int, scope: tuple[str, ...] = ()) -> DataFrame:
     """question_id, chunk_id, vector_score, rank: the first k of a scan over all vectors given (filter them before), or over those of the question's scope."""
-    return ranked(vector_scores(questions, vectors, scope), ["question_id"], _order(), k)
+    return top_hits(questions, vectors, k, scope)
 
 
 def guarded(questions: DataFrame, near: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
@@ -49,31 +39,6 @@ def guarded(questions: DataFrame, near: DataFrame, tokens: DataFrame, k: int) ->
     return near.join(met, "question_id").where((F.col("rank") <= 2 * k) & ((F.col("met") == 1) | ((F.col("rank") <= k) & (F.col("vector_score") > 0)))).select(*near.columns)
 
 
-class InvertedLists:
-    """Vectors partitioned by their nearest centroid. Fitted on at most TRAIN_ROWS vectors; every vector is listed."""
-
-    def __init__(self, vectors: DataFrame, n_lists: int | None = None, seed: int = 11):
-        n = vectors.count()
-        unit = vectors.withColumn("v", V.unit(F.col("vector"))).withColumn("features", array_to_vector("v"))
-        fit = unit if n <= TRAIN_ROWS else unit.orderBy(F.xxhash64("chunk_id")).limit(TRAIN_ROWS)
-        self.model = KMeans(k=n_lists or lists_for(n), seed=seed, maxIter=10).fit(fit)
-        self.lists = self.model.transform(unit).withColumnRenamed("prediction", "list_id").drop("features")
-        centroids = [(i, [float(x) for x in c]) for i, c in enumerate(self.model.clusterCenters())]
-        self.centroids = vectors.sparkSession.createDataFrame(centroids, "list_id int, centroid array<double>")
-
-    def save(self, path: str) -> None:
-        """One folder for each list, so that a probe reads only its lists; an empty input leaves an empty index."""
-        self.lists.write.mode("overwrite").partitionBy("list_id").parquet(path)
-
-    def search(self, questions: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
-        """The first k of the `probes` lists whose centroids are nearest to each question."""
-        q = questions.where("question_vector is not null").select("question_id", V.unit(F.col("question_vector")).alias("q"))
-        near = q.crossJoin(F.broadcast(self.centroids)).withColumn("d", V.dot(F.col("q"), F.col("centroid")))  # lists_for() bounds the centroids
-        probed = ranked(near, ["question_id"], [F.desc("d"), F.asc("list_id")], probes).select("question_id", "q", "list_id")
-        scored = self.lists.join(few(probed), "list_id").withColumn("vector_score", F.round(V.dot(F.col("q"), F.col("v")), 6))
-        return ranked(scored.select("question_id", "chunk_id", "vector_score"), ["question_id"], _order(), k)
-
-
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean share of the true neighbours that were found."""
     both = truth.select("question_id", "chunk_id").join(found.select("question_id", "chunk_id", F.lit(1).alias("f")), ["question_id", "chunk_id"], "left")

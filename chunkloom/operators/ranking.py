@@ -76,20 +76,6 @@ def bm25(chunks: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), text:
     return total.where("keyword_score > 0")
 
 
-def vector_scores(questions: DataFrame, vectors: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """question_id, chunk_id, vector_score of every question against every vector of its length: the questions, proven few, are broadcast.
-
-    The norms are taken once for each side; each pair costs one scalar product. With scope columns on both sides, a question meets its own scope only.
-    """
-    q = questions.where("question_vector is not null").select("question_id", *[F.col(c).alias(f"asked_{c}") for c in scope], V.unit(F.col("question_vector")).alias("q"))
-    v = vectors.where(F.size("vector") > 0).select(*[c for c in vectors.columns if c != "vector"], V.unit(F.col("vector")).alias("v"))
-    meets = F.size("q") == F.size("v")
-    for c in scope:
-        meets &= F.col(c) == F.col(f"asked_{c}")
-    pairs = v.join(few(q), meets)
-    return pairs.withColumn("vector_score", F.round(V.dot(F.col("q"), F.col("v")), 6)).drop("q", "v", *[f"asked_{c}" for c in scope])
-
-
 def coarse_scores(pairs: DataFrame) -> DataFrame:
     """pairs(intent, content, vector_score) with coarse_score: vector, words, phrases over all forms, evidence and relation."""
     return with_signals(pairs, "content").withColumn(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,10 +17,12 @@ from chunkloom.operators import evaluation as E
 from chunkloom.operators import neighbours as N
 from chunkloom.operators import ranking as R
 from chunkloom.operators import records as D
+from chunkloom.operators.vector_index import VectorIndex
 from chunkloom.plans import retrieval
 from chunkloom.sources import parsers as P
 from chunkloom.sources import plugins as M
 from chunkloom.sources import tables as S
+from chunkloom.sources.versions import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -392,16 +395,41 @@ def guarded_topk(spark, d):
     return N.guarded(asked, near, leaves.select("chunk_id", T.token_set("content").alias("tokens")), 5)
 
 
+def _index(spark, d, **how):
+    """An index of the table's vectors, stored and opened again."""
+    root = f"{shared_dir(spark)}/vector-index-{uuid4().hex}"
+    VectorIndex.build(S.leaf_vectors(spark, d), root, **how)
+    return VectorIndex.open(spark, root)
+
+
+def _recall(spark, d, index):
+    """Recall at 10 of the index with its own settings, beside what it read for it."""
+    vectors, asked = S.leaf_vectors(spark, d), S.questions(spark, d)
+    found = N.recall(index.search(asked, 10), N.exact(asked, vectors, 10))
+    return found.crossJoin(index.scanned(asked)).withColumns({"n_vectors": F.lit(index.facts["num_vectors"]), "n_lists": F.lit(index.facts["n_lists"]), "probes": F.lit(index.facts["probes"])})  # one row each
+
+
 @query("q_ivf_topk")
 def ivf_topk(spark, d):
-    index = N.InvertedLists(S.leaf_vectors(spark, d), n_lists=16)
-    return index.search(S.questions(spark, d), 10, probes=13).select("question_id", "chunk_id", "vector_score", "rank")
+    return _index(spark, d, code_bytes=0).search(S.questions(spark, d), 10).select("question_id", "chunk_id", "vector_score", "rank")
 
 
 @query("q_ann_recall")
 def ann_recall(spark, d):
-    vectors, asked = S.leaf_vectors(spark, d), S.questions(spark, d)
-    return N.recall(N.InvertedLists(vectors, n_lists=16).search(asked, 10, probes=13), N.exact(asked, vectors, 10))
+    return _recall(spark, d, _index(spark, d, code_bytes=0))
+
+
+@query("q_pq_topk")
+def pq_topk(spark, d):
+    """Hits of the lists' codes, scored again by their vectors."""
+    return _index(spark, d).search(S.questions(spark, d), 10).select("question_id", "chunk_id", "vector_score", "rank")
+
+
+@query("q_pq_recall")
+def pq_recall(spark, d):
+    index = _index(spark, d)
+    scored = min(10 * index.facts["rerank"], index.facts["num_vectors"]) / max(index.facts["num_vectors"], 1)
+    return _recall(spark, d, index).withColumns({"bytes_a_vector": F.lit(index.facts["code_bytes"]), "scored_again": F.lit(round(scored, 6))})
 
 
 # Keywords
@@ -468,8 +496,9 @@ def hybrid_leaf(spark, d):
 b AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_id DESC) AS r FROM kw QUALIFY r <= 20)
 SELECT question_id, chunk_id, round(sum(1.0 / (60 + r)), 9) AS rrf_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2""")
 def rrf(spark, d):
-    v, k = retrieval.two_arms(S.questions(spark, d), S.leaves(spark, d), S.leaf_vectors(spark, d))
-    lists = [R.ranked(v, ["question_id"], [F.desc("vector_score"), F.desc("chunk_id")], 20), R.ranked(k, ["question_id"], [F.desc("keyword_score"), F.desc("chunk_id")], 20)]
+    asked, leaves = S.questions(spark, d), S.leaves(spark, d)
+    k = R.bm25(leaves, R.question_terms(asked))
+    lists = [N.exact(asked, S.leaf_vectors(spark, d).join(leaves.select("chunk_id"), "chunk_id"), 20), R.ranked(k, ["question_id"], [F.desc("keyword_score"), F.desc("chunk_id")], 20)]
     return R.reciprocal_rank_fusion(lists).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
@@ -497,7 +526,7 @@ def small_to_big_observed(spark, d):
 def coarse_topk(spark, d):
     """The vector arm in the order of its coarse score."""
     questions = U.with_intent(S.questions(spark, d).select("question_id", "question"))
-    near = R.ranked(R.vector_scores(S.questions(spark, d), S.leaf_vectors(spark, d).drop("label")), ["question_id"], [F.desc("vector_score"), F.desc("chunk_id")], 20).drop("rank")
+    near = N.exact(S.questions(spark, d), S.leaf_vectors(spark, d), 20).drop("rank")
     pairs = near.join(R.few(questions), "question_id").join(S.leaves(spark, d).select("chunk_id", "chunk_index", "content"), "chunk_id")
     ordered = R.ranked(R.coarse_scores(pairs.where("vector_score > 0")), ["question_id"], [F.desc("coarse_score"), F.desc("vector_score"), F.desc("chunk_index"), F.desc("chunk_id")], 10)
     return ordered.select("question_id", "chunk_id", "vector_score", F.round("coarse_score", 6).alias("coarse_score"), "rank")

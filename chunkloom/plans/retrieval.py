@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import understanding as U
 from chunkloom.operators import ranking as R
+from chunkloom.operators.blocked import top_hits
 
 
-def two_arms(questions: DataFrame, leaves: DataFrame, vectors: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Vector and keyword hits of all questions over the same leaves."""
+def two_arms(questions: DataFrame, leaves: DataFrame, vectors: DataFrame, depth: int, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The first `depth` vector hits with a positive score, and the keyword hits, of all questions over the same leaves."""
     held = vectors.join(leaves.select("chunk_id", "chunk_index"), "chunk_id").select("chunk_id", "chunk_index", "vector")
-    return R.vector_scores(questions, held), R.bm25(leaves, R.question_terms(questions, weighted))
+    near = top_hits(questions, held, depth, ties=("chunk_index", "chunk_id"), positive=True).drop("rank")
+    return near, R.bm25(leaves, R.question_terms(questions, weighted))
 
 
 def hybrid_leaves(questions: DataFrame, leaves: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    return R.hybrid(*two_arms(questions, leaves, vectors), k)
+    return R.hybrid(*two_arms(questions, leaves, vectors, 4 * k), k)
 
 
 def retrieve(questions: DataFrame, leaves: DataFrame, vectors: DataFrame, parents: DataFrame, k: int = 5, spread: int = 5, carry_parent: bool = True) -> DataFrame:
