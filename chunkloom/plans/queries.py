@@ -17,6 +17,7 @@ from chunkloom.operators import evaluation as E
 from chunkloom.operators import neighbours as N
 from chunkloom.operators import ranking as R
 from chunkloom.operators import records as D
+from chunkloom.operators.postings import Postings
 from chunkloom.operators.vector_index import VectorIndex
 from chunkloom.plans import retrieval
 from chunkloom.sources import parsers as P
@@ -437,10 +438,27 @@ def pq_recall(spark, d):
 
 @query("q_bm25_topk", _with(LEAVES, KEYWORDS) + "SELECT question_id, chunk_id, keyword_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM kw WINDOW w AS (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_index DESC, chunk_id DESC) QUALIFY row_number() OVER w <= 5")
 def bm25_topk(spark, d):
-    hits = R.bm25(S.leaves(spark, d), R.question_terms(S.questions(spark, d)))
+    """From an index that is written and opened again; the search reads postings, not texts."""
+    root = f"{shared_dir(spark)}/postings-{uuid4().hex}"
+    Postings.build(S.leaves(spark, d), root)
+    return _first_keyword_hits(Postings.open(spark, root).search(R.question_terms(S.questions(spark, d))))
+
+
+def _first_keyword_hits(hits):
     return R.ranked(hits, ["question_id"], [F.desc("keyword_score"), F.desc("chunk_index"), F.desc("chunk_id")], 5).select("question_id", "chunk_id", "keyword_score", "rank")
 
 
+@query("q_bm25_incremental", _with(LEAVES.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 7)"), KEYWORDS) + "SELECT question_id, chunk_id, keyword_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM kw WINDOW w AS (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_index DESC, chunk_id DESC) QUALIFY row_number() OVER w <= 5")
+def bm25_incremental(spark, d):
+    """Built from two of three chunks with a wrong text in some, then given the rest and the right texts, then rid of every tenth: scored like an index of what is left."""
+    leaves, root = S.leaves(spark, d).select("chunk_id", "chunk_index", "content"), f"{shared_dir(spark)}/postings-{uuid4().hex}"
+    wrong = F.when(F.col("chunk_id") % 5 == 1, F.concat_ws(" ", "content", F.lit("draft"), "content")).otherwise(F.col("content"))
+    Postings.build(leaves.where("chunk_id % 3 < 2").withColumn("content", wrong), root)
+    Postings.open(spark, root).add(leaves.where("chunk_id % 3 = 2 or chunk_id % 5 = 1"))
+    Postings.open(spark, root).remove(leaves.where("chunk_id % 10 = 7").select("chunk_id"))
+    return _first_keyword_hits(Postings.open(spark, root).search(R.question_terms(S.questions(spark, d))))
+
+
 @query("q_bm25_scoped", _with(LEAVES.replace("FROM documents)", "FROM documents WHERE (doc_id // 4) % 3 = 2)"), KEYWORDS) + "SELECT question_id, chunk_id, keyword_score, CAST(row_number() OVER w AS INTEGER) AS rank FROM kw WINDOW w AS (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_index DESC, chunk_id DESC) QUALIFY row_number() OVER w <= 5")
 def bm25_scoped(spark, d):
     """All users' scopes in one pass; each question belongs to user 2 here."""

@@ -78,6 +78,18 @@ class Versions:
             stream.close()
         return Version(self.spark, self.root, number, held["tables"], held["facts"])
 
+    def write(self, name: str, df: DataFrame, by: list[str] | None = None) -> dict[str, str]:
+        """A table in a folder of its own, for a version to be published; it may be read before."""
+        by = by or []
+        path = f"{name}-{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(*by) if by else df.write
+        writer.parquet(f"{self.root}/{path}")
+        fields = [f for f in df.schema.fields if f.name not in by] + [f for f in df.schema.fields if f.name in by]  # as Spark reads partition columns
+        return {"path": path, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)}
+
+    def read(self, held: dict[str, str]) -> DataFrame:
+        return self.spark.read.schema(held["schema"]).parquet(f"{self.root}/{held['path']}")
+
     def publish(self, tables: Mapping[str, DataFrame | tuple[DataFrame, list[str]] | dict[str, str]], facts: dict, after: Version | None) -> Version:
         """Write a version that follows `after` (None: the first).
 
@@ -85,14 +97,8 @@ class Versions:
         """
         entries = {}
         for name, given in tables.items():
-            if isinstance(given, dict):
-                entries[name] = given
-                continue
             df, by = given if isinstance(given, tuple) else (given, [])
-            path = f"{name}-{uuid.uuid4().hex}"
-            df.write.partitionBy(*by).parquet(f"{self.root}/{path}") if by else df.write.parquet(f"{self.root}/{path}")
-            fields = [f for f in df.schema.fields if f.name not in by] + [f for f in df.schema.fields if f.name in by]  # as Spark reads partition columns
-            entries[name] = {"path": path, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)}
+            entries[name] = given if isinstance(given, dict) else self.write(name, df, by)
         number = after.number + 1 if after else 0
         tmp = self._fs.Path(f"{self.root}/.{uuid.uuid4().hex}.json")
         out = self._files.create(tmp, False)
