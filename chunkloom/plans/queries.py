@@ -687,6 +687,39 @@ def index_facts(spark, d):
     return index_facts(S.leaf_vectors(spark, d).join(S.leaves(spark, d).select("chunk_id", "user_id"), "chunk_id"))
 
 
+def _user_vectors(spark, d):
+    return S.leaf_vectors(spark, d).join(S.leaves(spark, d).select("chunk_id", "user_id", "document_id"), "chunk_id").select("user_id", "chunk_id", "document_id", "vector")
+
+
+def _drifted(spark, d):
+    """Indexes written when every seventh vector was not there yet and every eleventh belonged to the next chunk; user 2 has none any more."""
+    from chunkloom.sources.indexes import UserIndexes
+
+    held = _user_vectors(spark, d)
+    old = held.where("chunk_id % 7 <> 3").withColumn("chunk_id", F.when(F.col("chunk_id") % 11 == 5, F.col("chunk_id") + 100_000).otherwise(F.col("chunk_id")))
+    indexes = UserIndexes(spark, f"{shared_dir(spark)}/indexes-{uuid4().hex}").replace(old)
+    return held, indexes.replace(held.where("1 = 0"), spark.createDataFrame([(2,)], "user_id long"))
+
+
+_OF_USERS = "v AS (SELECT (vec_id // 4) % 3 AS user_id, vec_id AS chunk_id, embedding FROM embeddings JOIN documents ON doc_id = vec_id)"
+
+
+@query("q_index_differences", f"""WITH {_OF_USERS}, held AS (SELECT user_id, CASE WHEN chunk_id % 11 = 5 THEN chunk_id + 100000 ELSE chunk_id END AS chunk_id FROM v WHERE chunk_id % 7 <> 3 AND user_id <> 2)
+SELECT user_id, chunk_id, 'missing' AS state FROM v ANTI JOIN held USING (user_id, chunk_id) UNION ALL SELECT user_id, chunk_id, 'stale' FROM held ANTI JOIN v USING (user_id, chunk_id)""")
+def index_differences(spark, d):
+    held, indexes = _drifted(spark, d)
+    return indexes.differences(held)
+
+
+@query("q_index_repair", f"WITH {_OF_USERS} SELECT user_id, 'flat' AS index_type, CAST(max(len(embedding)) AS INTEGER) AS dimension, count(*) AS num_vectors, count(*) AS n_positions, max(chunk_id) AS last_chunk FROM v GROUP BY 1")
+def index_repair(spark, d):
+    """After the repair every user has the vectors of the table, at positions without gaps."""
+    held, indexes = _drifted(spark, d)
+    after = indexes.repair(held)
+    rows = after.rows().groupBy("user_id").agg((F.max("position") + 1).alias("n_positions"), F.max("chunk_id").alias("last_chunk"))
+    return after.users().join(rows, "user_id").select("user_id", "index_type", "dimension", "num_vectors", "n_positions", "last_chunk")
+
+
 # Evaluation
 
 EXPECTED = """lt AS (SELECT chunk_id, ' ' || array_to_string(regexp_extract_all(lower(content), '[a-z0-9]+'), ' ') || ' ' AS t FROM leaves),
