@@ -27,5 +27,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+
+    def divided(n: Column) -> Column:
+        return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+
+    return F.element_at(F.transform(F.array(norm(a)), divided), 1)  # the norm is taken once, not for every component
+
+
+def on_unit(q: Column, v: Column) -> Column:
+    """Scalar product of q, at length 1, and v brought to length 1; 0 for a zero vector."""
+    return F.element_at(F.transform(F.array(norm(v)), lambda n: F.when(n > 0, dot(q, v) / n).otherwise(0.0)), 1)

@@ -244,7 +244,7 @@ class VectorIndex:
         asked = questions.select("question_id", V.unit(F.col("question_vector")).alias("q"))
         near = F.broadcast(near) if are_few(near) else near
         found = self.lists().join(near, ["list_id", "chunk_id"]).join(few(asked), "question_id")
-        scored = found.select("question_id", "chunk_id", F.round(V.dot(F.col("q"), V.unit(F.col("vector"))), 6).alias("vector_score"))
+        scored = found.select("question_id", "chunk_id", F.round(V.on_unit(F.col("q"), F.col("vector")), 6).alias("vector_score"))
         return ranked(scored, ["question_id"], [F.desc("vector_score"), F.desc("chunk_id")], k)
 
     def scanned(self, questions: DataFrame, probes: int | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from chunkloom.operators import evaluation as E
 from chunkloom.operators import neighbours as N
 from chunkloom.operators import ranking as R
 from chunkloom.operators import records as D
+from chunkloom.operators.neighbour_graph import NeighbourGraph
 from chunkloom.operators.postings import Postings
 from chunkloom.operators.vector_index import VectorIndex
 from chunkloom.plans import retrieval
@@ -433,6 +434,18 @@ def pq_recall(spark, d):
     return _recall(spark, d, index).withColumns({"bytes_a_vector": F.lit(index.facts["code_bytes"]), "scored_again": F.lit(round(scored, 6))})
 
 
+@query("q_graph_recall")
+def graph_recall(spark, d):
+    """Recall at 10 of the neighbour graph, beside the share of the vectors that a question meets."""
+    vectors, asked, root = S.leaf_vectors(spark, d), S.questions(spark, d), f"{shared_dir(spark)}/graph-{uuid4().hex}"
+    NeighbourGraph.build(vectors, root)
+    graph = NeighbourGraph.open(spark, root)
+    met = graph.met(asked)
+    found = R.ranked(met, ["question_id"], [F.desc("score"), F.desc("node")], 10).select("question_id", F.col("node").alias("chunk_id"))
+    share = met.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).agg(F.round(F.avg("n") / max(graph.facts["num_vectors"], 1), 6).alias("met"))
+    return N.recall(found, N.exact(asked, vectors, 10)).crossJoin(share)  # one row each
+
+
 # Keywords
 
 

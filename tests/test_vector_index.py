@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.operators import blocked as B
+from chunkloom.operators import neighbour_graph as G
 from chunkloom.operators import neighbours as N
 from chunkloom.operators import vector_index as X
 from chunkloom.sources.versions import Conflict, Versions
@@ -148,3 +149,26 @@ def test_readers_while_versions_are_written(spark, tmp_path):
         stop.set()
         reader.join()
     assert seen and all(n == a == b for n, a, b in seen)
+
+
+def test_graph_finds_neighbours(spark, tmp_path, cloud):
+    """Recall against the exact scan while a question meets a small share of the vectors; among them many equal ones."""
+    held, asked = cloud
+    held = np.concatenate([held[:900], np.repeat(held[:1], 300, 0)])
+    v, q, root = vectors_of(spark, held), questions_of(spark, asked[:20]), f"file://{tmp_path}/graph"
+    G.NeighbourGraph.build(v, root, rounds=1)
+    graph = G.NeighbourGraph.open(spark, root)
+    links = graph.version.table("links").collect()
+    assert len(links) == 1200 and max(len(r.others) for r in links) <= G.LINKS and all(r.node not in r.others for r in links)
+    met = graph.met(q).cache()
+    assert met.groupBy("question_id", "node").count().where("count > 1").isEmpty() and met.count() < 0.5 * 20 * 1200
+    truth = {r.question_id: r.least for r in N.exact(q, v, 10).groupBy("question_id").agg(F.min("vector_score").alias("least")).collect()}
+    first = graph.search(q, 10).collect()
+    assert np.mean([r.vector_score >= truth[r.question_id] for r in first]) >= 0.95 and len(first) == 200
+
+
+def test_odd_graphs(spark, tmp_path):
+    empty = G.NeighbourGraph.build(spark.createDataFrame([], "chunk_id long, vector array<double>"), f"file://{tmp_path}/a")
+    assert empty.search(questions_of(spark, [[1, 2]]), 3).collect() == []
+    one = G.NeighbourGraph.build(vectors_of(spark, [[1, 0], [1]]), f"file://{tmp_path}/b", rounds=1)
+    assert [r.chunk_id for r in one.search(questions_of(spark, [[1, 2], [3]]), 3).collect()] == [0]
