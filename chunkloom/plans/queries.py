@@ -138,6 +138,17 @@ def import_settled(spark, d):
     return D.settle_import(S.knowledge_documents(spark, d), S.leaves(spark, d).withColumn("error", error))
 
 
+@query("q_import_states_streamed", SQL["q_import_settled"])
+def import_states_streamed(spark, d):
+    """The same settlement from events of single chunks, and of how many there are, in any order."""
+    from chunkloom.streaming import states as W
+
+    chunks = S.table(spark, d, "documents").select(F.floor(F.col("doc_id") / S.LEAVES).alias("document_id"), F.when((F.col("doc_id") % 5 < 4) & (F.col("n_chars") < 900), "chunk_error").otherwise("embedded").alias("kind"), F.col("doc_id").alias("chunk_id"), F.lit(None).cast("long").alias("total"))
+    totals = chunks.groupBy("document_id").agg(F.lit("chunks").alias("kind"), F.lit(None).cast("long").alias("chunk_id"), F.count(F.lit(1)).alias("total"))
+    settled = _streamed(spark, chunks.unionByName(totals), W.import_states, "document_id", W.IMPORT_ROWS)
+    return settled.select(F.col("document_id").alias("id"), "status", "total_chunks", "processed_chunks", "failed_chunks")
+
+
 @query("q_dead_letters", "SELECT doc_id // 4 AS document_id, doc_id AS chunk_id, 'no vector' AS error_message, left(text, 500) AS preview, 0 AS retry_count FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def dead_letters(spark, d):
     rows = S.leaves(spark, d).join(S.leaf_vectors(spark, d), "chunk_id", "left").withColumn("error", F.when(F.col("vector").isNull(), "no vector"))
@@ -159,6 +170,28 @@ def run_states(spark, d):
     return D.run_states(S.runs(spark, d)).select("run_id", "status", "n_steps", "n_failed")
 
 
+def _streamed(spark, events, states, key, rows):
+    """The last states after all events went through a stream: in four parts by a hash, in several micro-batches, every seventh event a second time in the last part."""
+    from chunkloom.streaming import states as W
+
+    root = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    part = F.pmod(F.xxhash64(*[c for c in events.columns]), F.lit(28))
+    for i in range(4):
+        own = events.where(part % 4 == i)
+        (own.unionByName(events.where(part % 7 == 0)) if i == 3 else own).write.parquet(f"{root}/in/{i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    W.written(states(stream), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return W.latest(spark, f"{root}/out", key, rows)
+
+
+@query("q_run_states_streamed", SQL["q_run_latest_state"])
+def run_states_streamed(spark, d):
+    from chunkloom.streaming import states as W
+
+    events = S.runs(spark, d).select("run_id", "step_id", "status", "started_at")
+    return _streamed(spark, events, lambda x: W.run_states(x, lateness="36500 days"), "run_id", W.RUN_ROWS).select("run_id", "status", "n_steps", "n_failed")
+
+
 @query("q_step_durations", "SELECT user_id AS run_id, event_id AS step_id, round((epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6, 6) AS seconds FROM events")
 def step_durations(spark, d):
     return D.step_durations(S.runs(spark, d)).select("run_id", "step_id", "seconds")
