@@ -13,6 +13,7 @@ scoring; repeated rows get equal scores; very long texts are scored whole, line
 
 from __future__ import annotations
 
+import zlib
 from operator import eq
 
 import numpy as np
@@ -24,8 +25,8 @@ from chunkloom.llm.common import documents, filter_rows, map_rows, table, texts_
 
 #: Labelled documents that the field is fitted on, those with the smallest hashes of doc_id.
 SAMPLE_DOCS = 12_000
-#: Lines of each of them that the fit uses (60 bytes a line; scoring reads whole texts).
-SAMPLE_LINES = 200
+#: Lines of each of them that the fit uses (60 bytes a line; scoring reads whole texts), taken in stretches of LINE_STRETCH from all over the text.
+SAMPLE_LINES, LINE_STRETCH = 200, 20
 BINS = 8
 KEEP = 0.3
 MEASURES = 13
@@ -54,6 +55,17 @@ def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([measures(x) for x in lines], np.float32), np.array([len(x) for x in lines], np.float32)
 
 
+def sampled_lines(n: int, seed: int) -> np.ndarray:
+    """The lines of a text of n lines that the fit uses: all, or stretches of neighbours, one from each equal part of the text, at a place that the seed gives."""
+    if n <= SAMPLE_LINES:
+        return np.arange(n)
+    parts = SAMPLE_LINES // LINE_STRETCH
+    edges = np.arange(parts + 1) * n // parts
+    room = np.diff(edges) - LINE_STRETCH + 1
+    first = edges[:-1] + (np.arange(1, parts + 1) * 2654435761 + seed) % room
+    return (first[:, None] + np.arange(LINE_STRETCH)).ravel()
+
+
 class LineField:
     """Binary linear-chain field; weights: measure bins of the line before, the line itself and the line after, and transitions."""
 
@@ -169,8 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
     def work():
         def step(batch):
-            rows = [lines_of(t) for t in texts_of(batch)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x[:SAMPLE_LINES].tobytes() for x, _ in rows], pa.binary()), pa.array([n[:SAMPLE_LINES].tobytes() for _, n in rows], pa.binary())], ["doc_id", "quality", "x", "n"])
+            rows = [(*lines_of(t), zlib.crc32(t.encode("utf-8", "surrogatepass"))) for t in texts_of(batch)]
+            rows = [(x[used], n[used]) for x, n, seed in rows for used in [sampled_lines(len(n), seed)]]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([n.tobytes() for _, n in rows], pa.binary())], ["doc_id", "quality", "x", "n"])
 
         return step
 

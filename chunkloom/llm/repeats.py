@@ -13,7 +13,7 @@ of the whole operator; inducing the other suffixes moves more than three times t
 
 A byte is removed if a string of LENGTH bytes that covers it also starts anywhere else, in the same document or another.
 Texts are UTF-8; matches never cross documents. Defined results: null and empty texts have 0 bytes and no spans; texts
-shorter than LENGTH keep everything; repeated rows are repeats of each other; null doc_id is carried along; an empty table
+shorter than LENGTH keep everything; a text of 256 MB or more is refused with an error; repeated rows are repeats of each other; null doc_id is carried along; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -80,6 +80,8 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 def samples(h: np.ndarray, starts: int, window: int) -> np.ndarray:
     """For every string start below `starts`: place of the smallest gram hash among the `window` from it, the leftmost of equals."""
+    if len(h) > int(_PLACE):
+        raise ValueError(f"a text of more than {int(_PLACE)} bytes: places are kept in so many numbers")
     keys = (h & ~_PLACE) | np.arange(len(h), dtype=U)
     full = np.concatenate([keys, np.full(-len(h) % window, np.iinfo(U).max, U)]).reshape(-1, window)
     ahead = np.minimum.accumulate(full, 1).ravel()

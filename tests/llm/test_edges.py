@@ -105,3 +105,24 @@ def test_mirrored_pages_keep_their_text(spark):
     rows = [(1, "http://h.x/a", body), (2, "http://h.x/b", body), (3, "http://h.x/c", "<p>something else</p>")]
     got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r.n_chars for r in got) == [14, 74, 74]
+
+
+def test_inline_elements_stay_in_their_block():
+    page = '<article><p>Hello <span class="notice">x</span> there</p><p>See <a class="comment" href="#">this</a> and <b class="social">that</b>.</p><p>Energy <math><mi>E</mi></math> is <object data="a">kept</object></p></article>'
+    assert page_text.blocks(page) == [("main", "Hello x there"), ("main", "See this and that."), ("main", "Energy E is kept")]
+
+
+def test_places_that_do_not_fit_are_refused(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64(63))
+    assert len(repeats.samples(repeats.grams(np.arange(70, dtype=np.uint8)), 5, 4)) == 5
+    with pytest.raises(ValueError):
+        repeats.samples(repeats.grams(np.arange(90, dtype=np.uint8)), 5, 4)
+
+
+def test_lines_of_the_fit_come_from_the_whole_text():
+    assert quality.sampled_lines(150, 7).tolist() == list(range(150))
+    for n in (201, 1000, 12_345):
+        got = quality.sampled_lines(n, n * 31)
+        assert len(got) == len(set(got.tolist())) == 200 and got.min() < n / 10 and got.max() >= 0.9 * n and got.max() < n
