@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import text as T
 from chunkloom.functions import understanding as U
-from chunkloom.functions import vectors as V
 
 K1, B = 1.5, 0.75
 VECTOR_SHARE, KEYWORD_SHARE = 0.65, 0.35
