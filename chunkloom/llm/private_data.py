@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 #: Documents with a digit or an @ that the field is fitted on, those with the smallest hashes of doc_id and text.
 SAMPLE_DOCS = 600
-#: Tokens of each of them that the fit uses: windows of WINDOW on both sides of telling tokens, from the start.
+#: Tokens of each of them that the fit uses: windows of WINDOW on both sides of telling tokens, from all over the text.
 SAMPLE_TOKENS, WINDOW = 240, 4
 #: Certainty from which a token adds a span.
 CERTAIN = 0.8
@@ -271,12 +271,17 @@ def rewrite(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generat
 
 
 def _windows(tokens: list[str], most: int) -> np.ndarray:
-    """Places of the tokens within WINDOW of a telling one, the first `most`."""
-    near = np.zeros(len(tokens) + 2 * WINDOW, bool)
-    for i, t in enumerate(tokens):
-        if telling(plain(t)):
-            near[i : i + 2 * WINDOW + 1] = True
-    return np.flatnonzero(near[WINDOW : WINDOW + len(tokens)])[:most]
+    """Places of the tokens within WINDOW of a telling one; where they are more than `most`, those around telling ones from all over the text, evenly."""
+    at = np.array([i for i, t in enumerate(tokens) if telling(plain(t))], np.int64)
+
+    def around(at: np.ndarray) -> np.ndarray:
+        near = np.zeros(len(tokens) + 2 * WINDOW, bool)
+        for i in range(2 * WINDOW + 1):
+            near[at + i] = True
+        return np.flatnonzero(near[WINDOW : WINDOW + len(tokens)])
+
+    kept = around(at)
+    return kept if len(kept) <= most else around(at[np.linspace(0, len(at) - 1, most // (2 * WINDOW + 1)).astype(np.int64)])
 
 
 def examples(text: str, most: int = SAMPLE_TOKENS) -> list[tuple[list[str], list[int]]]:

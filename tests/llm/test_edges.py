@@ -126,3 +126,12 @@ def test_lines_of_the_fit_come_from_the_whole_text():
     for n in (201, 1000, 12_345):
         got = quality.sampled_lines(n, n * 31)
         assert len(got) == len(set(got.tolist())) == 200 and got.min() < n / 10 and got.max() >= 0.9 * n and got.max() < n
+
+
+def test_tokens_of_the_fit_come_from_the_whole_text():
+    words = [f"+49 30 {i:07d}" if i % 3 == 0 else "word" for i in range(900)]
+    tokens = private_data._tokens(" ".join(words))[1]
+    got = private_data._windows(tokens, 240)
+    assert 100 < len(got) <= 240 and got.min() < 50 and got.max() > len(tokens) - 50
+    few = private_data._windows(["word"] * 30 + ["a@b.co"] + ["word"] * 30, 240)
+    assert few.tolist() == list(range(26, 35))
