@@ -537,13 +537,6 @@ def keyword_overlap(spark, d):
     return R.ranked(scored, ["question_id"], [F.desc("overlap"), F.asc("chunk_id")], 5).drop("rank")
 
 
-@query("q_phrase_overlap")
-def phrase_overlap(spark, d):
-    hits = _hybrid(spark, d).select("question_id", "chunk_id")
-    pairs = hits.join(S.questions(spark, d).select("question_id", "question"), "question_id").join(S.leaves(spark, d).select("chunk_id", "content"), "chunk_id")
-    return pairs.select("question_id", "chunk_id", F.round(T.phrase_overlap("question", "content"), 6).alias("phrase"), F.round(T.keyword_overlap("question", "content"), 6).alias("words"))
-
-
 # Hybrid retrieval
 
 
@@ -556,6 +549,23 @@ def hybrid_leaf(spark, d):
     return _hybrid(spark, d).select("question_id", "chunk_id", "vector_score", "keyword_score", "final_score", "rank")
 
 
+#: The tables hold no CJK text: phrase terms are the Latin runs of a text without white space, and a question has no focused form.
+PHRASES = _with(LEAVES, KEYWORDS, VECTORS, HYBRID) + r""", p AS (SELECT question_id, chunk_id, text AS q, content AS t FROM hy JOIN benchmark ON item_id = question_id JOIN leaves USING (chunk_id)),
+c AS (SELECT *, lower(regexp_replace(q, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+', '', 'g')) AS qc, lower(regexp_replace(t, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+', '', 'g')) AS tc FROM p),
+x AS (SELECT *, list_distinct(list_filter(regexp_extract_all(qc, '[a-z0-9]+'), lambda w: length(w) >= 2)) AS qo, list_distinct(list_filter(regexp_extract_all(tc, '[a-z0-9]+'), lambda w: length(w) >= 2)) AS own,
+  list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) AS qt, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')) AS tt FROM c),
+y AS (SELECT *, len(list_filter(qo, lambda w: contains(tc, w))) / len(qo) AS forth, len(list_filter(own, lambda w: contains(qc, w))) / len(own) AS back FROM x)
+SELECT question_id, chunk_id, round(CASE WHEN qc = '' OR tc = '' THEN 0.0 WHEN contains(tc, qc) THEN 1.0 WHEN len(qo) = 0 THEN 0.0 WHEN len(own) = 0 THEN forth ELSE greatest(forth, 0.8 * back) END, 6) AS phrase,
+  round(CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(qt, tt)) / len(qt) END, 6) AS words FROM y"""
+
+
+@query("q_phrase_overlap", PHRASES)
+def phrase_overlap(spark, d):
+    hits = _hybrid(spark, d).select("question_id", "chunk_id")
+    pairs = hits.join(S.questions(spark, d).select("question_id", "question"), "question_id").join(S.leaves(spark, d).select("chunk_id", "content"), "chunk_id")
+    return pairs.select("question_id", "chunk_id", F.round(T.phrase_overlap("question", "content"), 6).alias("phrase"), F.round(T.keyword_overlap("question", "content"), 6).alias("words"))
+
+
 @query("q_rrf", _with(LEAVES, KEYWORDS, VECTORS) + """, a AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY vector_score DESC, chunk_id DESC) AS r FROM vs QUALIFY r <= 20),
 b AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY keyword_score DESC, chunk_id DESC) AS r FROM kw QUALIFY r <= 20)
 SELECT question_id, chunk_id, round(sum(1.0 / (60 + r)), 9) AS rrf_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2""")
