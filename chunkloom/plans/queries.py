@@ -367,7 +367,18 @@ def semantic_chunks(spark, d):
     return cut.select("doc_id", F.posexplode(C.semantic_chunks(F.transform("r", lambda x: x.sentence), F.col("breaks"))).alias("piece", "content"))
 
 
-@query("q_hier_chunks")
+@query("q_hier_chunks", "WITH RECURSIVE " + HEURISTIC + """,
+seg AS (SELECT doc_id, lang, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+walk AS (
+  SELECT doc_id, t, parts, 0 AS i, greatest(strpos(t, parts[1]), 1) - 1 AS start FROM h JOIN seg USING (doc_id)
+  UNION ALL
+  SELECT doc_id, t, parts, i + 1, CASE WHEN strpos(substr(t, stop + 1), parts[i + 2]) > 0 THEN stop + strpos(substr(t, stop + 1), parts[i + 2]) - 1 ELSE stop END
+  FROM (SELECT *, least(start + length(parts[i + 1]), length(t)) AS stop FROM walk) WHERE i + 1 < len(parts)),
+rows AS (
+  SELECT doc_id, -1 AS child, 0 AS start, length(t) AS stop, t AS content FROM seg
+  UNION ALL SELECT doc_id, i, start, least(start + length(parts[i + 1]), length(t)), parts[i + 1] FROM walk)
+SELECT doc_id AS document_id, CAST(child + 1 AS INTEGER) AS chunk_index, CASE WHEN child < 0 THEN 'parent' ELSE 'leaf' END AS chunk_role, CAST(child AS INTEGER) AS child_index, CAST(start AS INTEGER) AS start_offset, CAST(stop AS INTEGER) AS end_offset,
+  '[父级主题] ' || lang || chr(10) || '[内容类型] 正文' || chr(10) || regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS retrieval_content FROM rows JOIN seg USING (doc_id)""")
 def hier_chunks(spark, d):
     segments = S.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("segment"), F.col("lang").alias("title"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return C.hierarchy(segments).select("document_id", "chunk_index", "chunk_role", "child_index", "start_offset", "end_offset", "retrieval_content")
