@@ -531,8 +531,9 @@ def bm25_by_user(spark, d):
     return R.ranked(hits, ["question_id"], [F.desc("keyword_score"), F.desc("chunk_index"), F.desc("chunk_id")], 5).select("question_id", "chunk_id", "keyword_score", "rank")
 
 
-@query("q_bm25_weighted")
+@query("q_bm25_weighted", SQL["q_bm25_topk"])
 def bm25_weighted(spark, d):
+    """Terms of all rewrites, each with its largest weight. The tables' questions have no words that a rewrite replaces: all terms are the question's own, whose weight is 1, so the statement is that of plain terms."""
     hits = R.bm25(S.leaves(spark, d), R.question_terms(S.questions(spark, d), weighted=True))
     return R.ranked(hits, ["question_id"], [F.desc("keyword_score"), F.desc("chunk_index"), F.desc("chunk_id")], 5).select("question_id", "chunk_id", "keyword_score", "rank")
 
