@@ -93,7 +93,8 @@ def _chunk_hits(vectors: DataFrame, asked: pa.Table, k: int, scope: tuple[str, .
                         if positive:
                             score[score <= 0] = -np.inf
                         for wanted, there in zip(scopes, own):
-                            score[np.array([wanted[i] for i in block], object)[:, None] != there[held][None, :]] = -np.inf
+                            own_scope = np.array([wanted[i] for i in block], object)[:, None]
+                            score[(own_scope != there[held][None, :]) | (own_scope == None)] = -np.inf  # noqa: E711  element by element; no scope meets none
                         best.merge(block, score, numbers[:, held])
         query, place = np.nonzero(best.score > -np.inf)
         for at in range(0, len(query), 100_000):

@@ -47,6 +47,8 @@ def test_blocked_as_plain(spark, monkeypatch, chunk):
     assert found(B.top_hits(questions_of(spark, asked), vectors_of(spark, held).repartition(3), 7)) == plain(asked, held, 7)
     scoped = B.top_hits(questions_of(spark, asked).withColumn("user", F.col("question_id") % 3), vectors_of(spark, held).withColumn("user", F.col("chunk_id") % 3), 5, scope=("user",))
     assert found(scoped) == {q: x for q, x in plain(asked, held, 5, lambda q, v: q % 3 == v % 3).items() if x}
+    none = F.lit(None).cast("long")
+    assert B.top_hits(questions_of(spark, asked).withColumn("user", none), vectors_of(spark, held).withColumn("user", none), 5, scope=("user",)).isEmpty()
     near = found(B.top_hits(questions_of(spark, asked), vectors_of(spark, held), 400, positive=True))
     assert near == {q: [y for y in x if y[1] > 0] for q, x in plain(asked, held, 400).items() if any(y[1] > 0 for y in x)}
 
