@@ -779,9 +779,9 @@ def index_differences(spark, d):
     return indexes.differences(held)
 
 
-@query("q_index_repair", f"WITH {_OF_USERS} SELECT user_id, 'flat' AS index_type, CAST(max(len(embedding)) AS INTEGER) AS dimension, count(*) AS num_vectors, count(*) AS n_positions, max(chunk_id) AS last_chunk FROM v GROUP BY 1")
+@query("q_index_repair", f"WITH {_OF_USERS} SELECT user_id, CASE WHEN count(*) < {N.FLAT_BELOW} THEN 'flat' ELSE 'ivf' END AS index_type, CAST(max(len(embedding)) AS INTEGER) AS dimension, count(*) AS num_vectors, count(*) AS n_positions, max(chunk_id) AS last_chunk FROM v GROUP BY 1")
 def index_repair(spark, d):
-    """After the repair every user has the vectors of the table, at positions without gaps."""
+    """After the repair every user has the vectors of the table, at positions without gaps; an index of FLAT_BELOW vectors or more is one of lists."""
     held, indexes = _drifted(spark, d)
     after = indexes.repair(held)
     rows = after.rows().groupBy("user_id").agg((F.max("position") + 1).alias("n_positions"), F.max("chunk_id").alias("last_chunk"))

@@ -1,7 +1,10 @@
 """Versioned user indexes: whole replacement, removal, pinned readers, both kinds of repair, positions."""
 
+import duckdb
 import pytest
 
+from chunkloom.operators.neighbours import FLAT_BELOW
+from chunkloom.plans.queries import QUERIES, SQL
 from chunkloom.sources.indexes import UserIndexes
 
 SCHEMA = "user_id long, chunk_id long, document_id long, vector array<double>"
@@ -61,3 +64,17 @@ def test_nothing_yet(spark, tmp_path):
     none = UserIndexes(spark, f"file://{tmp_path}/n")
     assert held(none) == [] and none.users().collect() == [] and none.repair(of(spark, [])) is none
     assert held(none.repair(of(spark, [(1, 1, 1)]))) == [(1, 1)]
+
+
+def test_large_index_as_sql(spark, tmp_path):
+    """One user with just as many vectors as make an index of lists, others below: as the statement has it."""
+    n = 3 * FLAT_BELOW - 8  # user 0 has the four of every third document, in full
+    ids = spark.range(n).where(f"id div 4 % 3 = 0 or id < {n - 100}")
+    ids.selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding", "0 as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ids.selectExpr("id as doc_id", "'a word' as text", "'en' as lang", "'src1' as source", "6L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    for t in ("embeddings", "documents"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = QUERIES["q_index_repair"](spark, str(tmp_path))
+    rows = db.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL['q_index_repair']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(rows) and {r.user_id: r.index_type for r in got.collect()} == {0: "ivf", 1: "flat", 2: "flat"}
