@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import text as T
@@ -18,6 +18,10 @@ HALF_UP = 1e-9
 BROADCAST_QUESTIONS = 20_000
 #: Terms of all questions together (rows of some 60 bytes) that may be broadcast.
 BROADCAST_TERMS = 1_000_000
+#: Pairs of a question and a chunk, and terms of chunks, that one task scores (some 200 bytes a pair and 100 a term while it runs). Tasks grow in number with the tables, not in size.
+TASK_PAIRS, TASK_TERMS = 1_000_000, 3_000_000
+#: Bytes of a text that stand for one term when tasks are counted.
+TERM_BYTES = 5
 
 
 def are_few(questions: DataFrame, most: int = BROADCAST_QUESTIONS) -> bool:
@@ -29,6 +33,17 @@ def few(questions: DataFrame) -> DataFrame:
     return F.broadcast(questions) if are_few(questions) else questions
 
 
+def tasks_for(spark: SparkSession, pairs: int, terms: int) -> int:
+    """Partitions that keep a task to TASK_PAIRS and TASK_TERMS; one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, min(1 << 16, max(-(-pairs // TASK_PAIRS), -(-terms // TASK_TERMS))))
+
+
+def extent(chunks: DataFrame, text: str | Column = "content") -> tuple[int, int]:
+    """How many chunks there are, and about how many terms: from the texts' lengths, no text is taken apart."""
+    n, size = chunks.select(F.octet_length(F.col(text) if isinstance(text, str) else text).alias("size")).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return n, size // TERM_BYTES
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
     """Rows with their place within `by`; with k, the first k."""
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -56,14 +71,17 @@ def bm25(chunks: DataFrame, terms: DataFrame, scope: tuple[str, ...] = (), text:
 
     terms(question_id, term, weight) may carry the scope columns; then a question meets its own scope only.
     The texts' terms are cut down to the asked ones where they are read; what is left is placed by chunk once, and counting,
-    document frequencies and the sums of questions' scores all start from that one exchange.
+    document frequencies and the sums of questions' scores all start from that one exchange. Its partitions are counted out by
+    chunks, questions and lengths: Spark would join them by bytes, and few bytes here become many pairs.
     """
+    n_chunks, n_terms = extent(chunks, text)
+    tasks = tasks_for(chunks.sparkSession, n_chunks * terms.select("question_id").distinct().count(), n_terms)
     keys = (*scope, "chunk_id", "chunk_index")
     hint = F.broadcast if are_few(terms, BROADCAST_TERMS) else lambda x: x
     asked = terms.select(*[c for c in scope if c in terms.columns], "term").distinct()
     bags = chunks.select(*keys, T.term_bag(text).alias("bag")).withColumn("dl", F.size("bag"))
     whole = bags.where("dl > 0").groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    placed = bags.select(*keys, "dl", F.explode("bag").alias("term")).join(hint(asked), asked.columns, "left_semi").repartition("chunk_id")
+    placed = bags.select(*keys, "dl", F.explode("bag").alias("term")).join(hint(asked), asked.columns, "left_semi").repartition(tasks, "chunk_id")
     met = placed.groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = met.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     stats = df.join(F.broadcast(whole), list(scope)) if scope else df.crossJoin(F.broadcast(whole))  # one row for each scope

@@ -1,5 +1,7 @@
 """Ranking, chunking, answers, parsing and imports on small examples."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,15 @@ def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
     spark.range(100).repartition(16).write.parquet(str(tmp_path / "many"))
     many = spark.read.parquet(str(tmp_path / "many"))
     assert tables.spread(many) is many
+
+
+def test_keyword_tasks_grow_with_the_tables(spark, monkeypatch):
+    """Chunks times questions decide how many tasks score them, not bytes; the scores are the same with any number."""
+    chunks = spark.range(2000).selectExpr("id as chunk_id", "id % 4 as chunk_index", "concat('lamp ', id % 7, ' stone') as content")
+    asked = spark.range(4000).selectExpr("id as question_id", "concat('lamp ', id % 5) as question")
+    plan = R.bm25(chunks, R.question_terms(asked))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(chunk_id#\d+L?, 8\), REPARTITION_BY_NUM", plan)  # 8 million pairs
+    terms = R.question_terms(asked.limit(3))
+    before = sorted(map(tuple, R.bm25(chunks, terms).collect()))
+    monkeypatch.setattr(R, "TASK_PAIRS", 400)
+    assert sorted(map(tuple, R.bm25(chunks, terms).collect())) == before and len(before) == 6000
