@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chunkloom.llm import bpe, components, decontamination, exact_dedup, fuse_filter, language, near_dedup, page_text, private_data, quality, repeats, token_counts, word_codec
@@ -291,6 +292,32 @@ def test_repeats_on_both_sides_of_the_length(spark):
         assert all((got[100 * i + j].n_removed >= n) == (n >= 400) and (n >= 400 or got[100 * i + j].n_removed == 0) for j in range(3))
 
 
+def test_repeats_are_listed_by_maximal_spans(spark, monkeypatch):
+    """Two copies of a long text have one span each, so their list stays small enough for a broadcast, however many runs it came from."""
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdefgh "), 60_000))
+    monkeypatch.setattr(repeats, "BROADCAST_BYTES", 2_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = repeats.remove_repeats(spark.createDataFrame([(1, text), (2, text + "!"), (3, "alone")], "doc_id long, text string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.doc_id: (r.n_removed, r.n_spans) for r in got.collect()} == {1: (60_000, 1), 2: (60_000, 1), 3: (0, 0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_listed_texts_are_marked(spark, monkeypatch):
+    """The filter misses no listed text, null and repeated keys included, and marks few others; full, it marks all."""
+    texts = spark.range(4_000).select(F.col("id").alias("d"), F.xxhash64("id").alias("t"), F.col("id").cast("string").alias("text"))
+    listed = texts.where("d % 40 = 0").select("d", "t").unionByName(texts.where("d = 40").select("d", "t"))
+    marked = {r.d for r in repeats._maybe_listed(texts, listed).where("listed").collect()}
+    assert marked >= set(range(0, 4_000, 40)) and len(marked) < 110
+    monkeypatch.setattr(repeats, "FILTER_WORDS", 1)
+    assert repeats._maybe_listed(texts, texts).where("listed").count() == 4_000
+
+
 def repeats_as_counted(spark, rows, length):
     """Rows of the operator by doc_id, held against counts of all strings."""
     data = {i: x.encode() for i, x in rows}
