@@ -107,6 +107,16 @@ def test_mirrored_pages_keep_their_text(spark):
     assert sorted(r.n_chars for r in got) == [14, 74, 74]
 
 
+def test_repeats_are_sought_on_pages_with_an_article(spark):
+    """Every page goes through the repeated runs of its host, whether or not structure leaves a block open; a menu of one page only is no repeat."""
+    note = "all rights are reserved by the owners of this site"
+    rows = [(i, f"http://h.x/{i}", f"<nav>own menu of page {i} with as many as ten words {i}</nav><article><p>Body {i}</p></article><footer>{note}</footer>") for i in range(3)]
+    rows += [(7, "http://other.x/", f"<article><p>Body 7</p></article><footer>{note}</footer>"), (8, "http://h.x/8", f"<nav>menu</nav><p>own words of page eight stand here alone</p><p>{note}</p>")]
+    rows += [(9, "http://h.x/9", f'<article><p>Body 9</p><p class="notice">{note}</p><p class="notice">short</p></article>')]
+    got = {r.page_id: (r.text, r.n_repeated) for r in page_text.extract_counted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: ("Body 0", 10), 1: ("Body 1", 10), 2: ("Body 2", 10), 7: ("Body 7", 0), 8: ("own words of page eight stand here alone", 10), 9: ("Body 9\nshort", 10)}
+
+
 def test_inline_elements_stay_in_their_block():
     page = '<article><p>Hello <span class="notice">x</span> there</p><p>See <a class="comment" href="#">this</a> and <b class="social">that</b>.</p><p>Energy <math><mi>E</mi></math> is <object data="a">kept</object></p></article>'
     assert page_text.blocks(page) == [("main", "Hello x there"), ("main", "See this and that."), ("main", "Energy E is kept")]
