@@ -170,6 +170,11 @@ def reader_section(page: Column | str, section: Column | str) -> Column:
     return F.when(kind == "", s).when(kind == "page", as_page).otherwise(words)
 
 
+def two_places(x: Column | str) -> Column:
+    """A number at two places, rounded by its exact binary value (halves to even) as C's and Python's %.2f; format_string rounds the shortest decimal form (0.745, binary below that, would be 0.75)."""
+    return F.call_function("format_number", _col(x), F.lit("0.00"))
+
+
 def short_name(x: Column | str, most: int = 40) -> Column:
     """A long name keeps its head and tail around three dots."""
     head = most // 2

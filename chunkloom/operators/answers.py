@@ -18,7 +18,7 @@ def context_blocks(hits: DataFrame) -> DataFrame:
     section = T.reader_section("source_page", "source_section")
     header = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] "),
-        F.concat_ws(" | ", T.filled(F.coalesce(F.col("document_name"), F.lit(T.UNKNOWN_DOCUMENT))), F.concat(F.lit("第"), F.col("source_page").cast("string"), F.lit("页")), F.concat(F.lit("章节："), T.filled(section)), F.when(F.col("score") > 0, F.concat(F.lit("相关度:"), F.format_string("%.2f", F.col("score"))))),
+        F.concat_ws(" | ", T.filled(F.coalesce(F.col("document_name"), F.lit(T.UNKNOWN_DOCUMENT))), F.concat(F.lit("第"), F.col("source_page").cast("string"), F.lit("页")), F.concat(F.lit("章节："), T.filled(section)), F.when(F.col("score") > 0, F.concat(F.lit("相关度:"), T.two_places("score")))),
     )
     body = T.strip("content")
     short = F.when(F.length(body) > MOST_CHUNK, F.concat(F.left(body, F.lit(MOST_CHUNK // 2)), F.lit(CUT_MARK), F.right(body, F.lit(MOST_CHUNK // 2)))).otherwise(body)

@@ -102,6 +102,13 @@ def test_long_contexts_are_cut(spark):
     assert A.CUT_MARK in blocks[0].content and sum(len(b.header) + 1 + len(b.content) for b in blocks) <= A.MOST_CONTEXT + 40
 
 
+def test_scores_are_shown_by_their_binary_value(spark):
+    shown = [k / 1000 for k in range(5, 1000, 5)] + [0.7449999, 0.745001, 0.9999, 1.0]  # 0.125 is an exact half, 0.745 lies below the half that it is written as
+    rows = [(i, 1, "n", 1, "", x, "a") for i, x in enumerate(shown)]
+    blocks = A.context_blocks(spark.createDataFrame(rows, "question_id long, rank int, document_name string, source_page int, source_section string, score double, content string"))
+    assert {r.question_id: r.header for r in blocks.collect()} == {i: f"[1] n | 第1页 | 相关度:{x:.2f}" for i, x in enumerate(shown)}
+
+
 def test_paths(spark):
     asked = spark.createDataFrame([(1, "从哪里购买"), (2, "是否支持小爱同学")], "question_id long, question string")
     contexts = spark.createDataFrame([(2, "本产品支持小爱同学等语音助手。", 0.9)], "question_id long, context string, top_score double")
