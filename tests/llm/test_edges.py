@@ -117,6 +117,23 @@ def test_repeats_are_sought_on_pages_with_an_article(spark):
     assert got == {0: ("Body 0", 10), 1: ("Body 1", 10), 2: ("Body 2", 10), 7: ("Body 7", 0), 8: ("own words of page eight stand here alone", 10), 9: ("Body 9\nshort", 10)}
 
 
+def test_streams_hold_whole_pages(spark):
+    """Pages with the same menu and notice but other articles are distinct pages of their host, and what stands in one page's article repeats in another page's notice."""
+    menu, note = "home news sport culture travel science weather archive", "all rights are reserved by the owners of this site"
+    said = "the long sentence of page one is quoted word for word"
+    rows = [(i, f"http://h.x/{i}", f'<nav>{menu}</nav><article><p>Body {i}</p><p class="notice">{note}</p></article><footer>{note}</footer>') for i in range(3)]
+    rows += [(10, "http://q.x/10", f"<article><p>{said}</p></article>"), (11, "http://q.x/11", f'<article><p>Body 11</p><p class="related">{said}</p></article>')]
+    rows += [(12, "http://z.x/12", f'<article><p>Body 12</p><p class="related">{said}</p></article>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {**{i: (f"Body {i}", 28) for i in range(3)}, 10: (said, 0), 11: ("Body 11", 11), 12: (f"Body 12\n{said}", 0)}
+    before = page_text.SHARED_WINDOWS
+    for shared in (before, -1):  # shared with all tasks, and joined with the pages by shuffle
+        page_text.SHARED_WINDOWS = shared
+        got = {r.page_id: (r.text, r.n_repeated) for r in page_text.extract_counted(pages).collect()}
+        page_text.SHARED_WINDOWS = before
+        assert got == want
+
+
 def test_inline_elements_stay_in_their_block():
     page = '<article><p>Hello <span class="notice">x</span> there</p><p>See <a class="comment" href="#">this</a> and <b class="social">that</b>.</p><p>Energy <math><mi>E</mi></math> is <object data="a">kept</object></p></article>'
     assert page_text.blocks(page) == [("main", "Hello x there"), ("main", "See this and that."), ("main", "Energy E is kept")]
